@@ -65,11 +65,8 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_bi
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
     """A row for each input row: rid, doc_id, keep_id, group_size, kept, text_sha256."""
     thin = checkpointed(recipes(docs, doc_id, text, hash_bits))
-    groups = (
-        thin.groupBy("recipe")
-        .agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-    )
+    groups = thin.groupBy("recipe").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    groups = checkpointed(groups)  # so that both sides of the join are shuffled for it, and it may split the rows of a hot recipe
     return thin.join(groups, "recipe", "left").select(
         "rid",
         "doc_id",

@@ -153,11 +153,11 @@ def _as_uri(path: str) -> str:
 def plan(pages: DataFrame, page_id: str = "page_id", html: str = "html", revisit_from: int = 0) -> DataFrame:
     """(rid, ref_page, ref_rid) of the rows that become revisits: payloads of ``revisit_from`` bytes or more that an earlier page has."""
     body = text_of(html)
-    thin = pages.select(
-        row_number_of_scan().alias("rid"), F.col(page_id).alias("page"), F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest")
-    ).where(F.col("n") >= revisit_from)
+    thin = pages.select(row_number_of_scan().alias("rid"), F.col(page_id).alias("page"), F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest"))
+    thin = checkpointed(thin.where(F.col("n") >= revisit_from))
     first = F.min(F.struct(F.col("page").isNull().alias("no_id"), "page", "rid")).alias("first")
     groups = thin.groupBy("digest", "n").agg(first, F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    groups = checkpointed(groups)  # so that the join below may split the rows of a hot payload
     return thin.join(groups, ["digest", "n"]).where(F.col("rid") != F.col("first.rid")).select("rid", F.col("first.page").alias("ref_page"), F.col("first.rid").alias("ref_rid"))
 
 
