@@ -102,6 +102,15 @@ class Backward:
         self.analysis, self.model, self.tuples = analysis, analysis.model, tuples
         self.subject_type, self.relation, self.max_depth = subject_type, relation, max_depth
         self.truncated = False
+        #: Within a loop, what each round joins is stored once: edges by their place in the schema.
+        self.edges: dict[tuple, DataFrame] | None = None
+
+    def _edge(self, key: tuple, rows: DataFrame) -> DataFrame:
+        if self.edges is None:
+            return rows
+        if key not in self.edges:
+            self.edges[key] = checkpointed(rows)
+        return self.edges[key]
 
     def value(self, type_name: str, relation: str, objects: DataFrame | None = None) -> Held:
         node = (type_name, relation)
@@ -133,11 +142,11 @@ class Backward:
     def _grants(self, node: Node, ref) -> DataFrame:
         """(via, object_id): the usersets that a relation takes, by the object they belong to."""
         rows = self._rows(node, node[1], ref.type).where(subject_relation("subject_id") == ref.relation)
-        return rows.select(subject_object("subject_id").alias("via"), O).distinct()
+        return self._edge((node, ref), rows.select(subject_object("subject_id").alias("via"), O).distinct())
 
     def _links(self, node: Node, link: str, parent: str) -> DataFrame:
         rows = self._rows(node, link, parent).where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
-        return rows.select(F.col("subject_id").alias("via"), O).distinct()
+        return self._edge((node, link, parent), rows.select(F.col("subject_id").alias("via"), O).distinct())
 
     def _demands(self, target: Node, objects: DataFrame, groups: list[list[Node]]) -> None:
         """The objects of each relation on which the answer depends, found from the target down."""
@@ -255,9 +264,14 @@ class Backward:
         return either(held, Held(own))
 
     def _loop(self, group: list[Node], outer: dict[Node, Held]) -> dict[Node, Held]:
-        if self.relation or not any(self.subject_type in self.analysis.wildcard_types[n] for n in group):
-            return self._rounds_of_news(group, outer)
-        return self._rounds_of_all(group, outer)
+        below = {d for n in group for d in self.analysis.depends(n)} - set(group)
+        outer |= {n: outer[n].stored() for n in below}
+        starred = not self.relation and any(self.subject_type in self.analysis.wildcard_types[n] for n in group)
+        self.edges = {}
+        try:
+            return (self._rounds_of_all if starred else self._rounds_of_news)(group, outer)
+        finally:
+            self.edges = None
 
     def _rounds_of_news(self, group: list[Node], outer: dict[Node, Held]) -> dict[Node, Held]:
         """Without wildcards, values only grow: each round joins the last round's new pairs."""

@@ -18,7 +18,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not configured and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="relgrove-checkpoints-"))
-    return df.checkpoint(eager=True)
+    # Stored rows keep the constraints of their plan, and these may name columns that
+    # the stored rows don't have, which breaks unions of them; so none are derived here.
+    setting, before = "spark.sql.constraintPropagation.enabled", spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set(setting, "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def union_of(frames: list[DataFrame]) -> DataFrame:

@@ -39,11 +39,21 @@ class Forward:
 
     def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH):
         self.analysis, self.model, self.tuples = analysis, analysis.model, tuples
-        self.subjects = subjects.select("subject_type", "subject_id").distinct()
+        # stored, as each direct grant joins them
+        self.subjects = checkpointed(subjects.select("subject_type", "subject_id").distinct())
         self.wildcards, self.max_depth = wildcards, max_depth
         self.values: dict[Node, DataFrame] = {}
         #: Whether some recursion was cut off at the greatest depth.
         self.truncated = False
+        #: Within a loop, what each round joins is stored once: edges by their place in the schema.
+        self.edges: dict[tuple, DataFrame] | None = None
+
+    def _edge(self, key: tuple, rows: DataFrame) -> DataFrame:
+        if self.edges is None:
+            return rows
+        if key not in self.edges:
+            self.edges[key] = checkpointed(rows)
+        return self.edges[key]
 
     def value(self, type_name: str, relation: str) -> DataFrame:
         """The value of a relation; empty if the model has no such relation."""
@@ -70,7 +80,8 @@ class Forward:
 
     def _self_rows(self, node: Node) -> DataFrame | None:
         """Userset subjects on their own objects; exclusions don't apply to them."""
-        return self.subjects.where((F.col("subject_type") == node[0]) & subject_relation("subject_id").isin(*self.analysis.closure[node])).select("subject_type", "subject_id", subject_object("subject_id").alias("object_id"))
+        own = self.subjects.where((F.col("subject_type") == node[0]) & subject_relation("subject_id").isin(*self.analysis.closure[node]))
+        return own.select(F.lit(node[0]).alias("subject_type"), "subject_id", subject_object("subject_id").alias("object_id"))
 
     def _rows(self, node: Node, relation: str, *types: str) -> DataFrame:
         return self.tuples.where((F.col("object_type") == node[0]) & (F.col("relation") == relation) & F.col("subject_type").isin(*types))
@@ -93,12 +104,12 @@ class Forward:
 
     def _via_userset(self, node: Node, ref, held: DataFrame) -> DataFrame:
         grants = self._rows(node, node[1], ref.type).where(subject_relation("subject_id") == ref.relation)
-        grants = grants.select(subject_object("subject_id").alias("via"), "object_id").distinct()
+        grants = self._edge((node, ref), grants.select(subject_object("subject_id").alias("via"), "object_id").distinct())
         return grants.join(held.withColumnRenamed("object_id", "via"), "via").select(*KEY)
 
     def _via_link(self, node: Node, e: FromLink, parent: str, held: DataFrame) -> DataFrame:
         links = self._rows(node, e.link, parent).where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
-        links = links.select(F.col("subject_id").alias("via"), "object_id").distinct()
+        links = self._edge((node, e, parent), links.select(F.col("subject_id").alias("via"), "object_id").distinct())
         return links.join(held.withColumnRenamed("object_id", "via"), "via").select(*KEY)
 
     def _eval(self, node: Node, e: Expr, values: dict[Node, DataFrame], delta: dict[Node, DataFrame] | None) -> DataFrame | None:
@@ -136,7 +147,10 @@ class Forward:
     def _loop(self, group: list[Node]) -> None:
         """Rounds until nothing new comes; each joins the rows that the last one added."""
         inside = set(group)
-        outer = {n: v for n, v in self.values.items()}
+        below = {d for n in group for d in self.analysis.depends(n)} - inside
+        outer = {n: checkpointed(self.values[n]) for n in below}
+        self.values |= outer
+        self.edges = {}
         total = {n: self._empty() for n in group}
         delta: dict[Node, DataFrame] = {}
         for n in group:
@@ -159,6 +173,7 @@ class Forward:
             for n, d in new.items():
                 total[n] = total[n].unionByName(d)
             delta, depth = new, depth + 1
+        self.edges = None
         self.values |= {n: total[n] for n in inside}
 
 
