@@ -175,7 +175,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                 if out is None:
                     fs, place = _open(root)
                     fs.create_dir(place, recursive=True)
-                    out = fs.open_output_stream(f"{place}/{path.rpartition('/')[2]}")
+                    out = fs.open_output_stream(f"{place}/{path.rpartition('/')[2]}", compression=None)  # members are compressed already
                 data = member(record(page, rid, address, (text or "").encode("utf-8", "surrogatepass"), None if ref_rid is None else (ref, ref_rid)), level)
                 out.write(data)
                 records, size = records + 1, size + len(data)
@@ -200,7 +200,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for path in b.column(0).to_pylist():
                 fs, place = _open(path)
                 held, size = [], 0
-                with fs.open_input_stream(place) as stream:
+                with fs.open_input_stream(place, compression=None) as stream:
                     for data in members(stream):
                         row = page_of(*parse(data))
                         if not payloads:
