@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_MATCH, COVERAGE = 5, 0.5
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 500_000
 _WORD = re.compile(r"\w+")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
