@@ -96,6 +96,18 @@ def examine(analysis: Analysis | None, tuples: DataFrame | None = None, registry
         add("Data Health", kind, WARN if own else OK, ", ".join(f"{s} ({n} rows)" for s, n in sorted(own)))
     nulls = tuples.where(F.greatest(*(F.col(c).isNull() for c in COLUMNS))).count()
     add("Data Health", "nulls", WARN if nulls else OK, f"{nulls} rows" if nulls else "")
+    blank = tuples.where(F.greatest(*(F.trim(c) == "" for c in COLUMNS))).count()
+    add("Data Health", "blanks", WARN if blank else OK, f"{blank} rows with an empty field" if blank else "")
+    shape = F.col("subject_id").rlike("#.*#|^#|#$|^[*]#")
+    odd = tuples.where(shape).count()
+    add("Data Health", "usersets", WARN if odd else OK, f"{odd} subjects that are no id, * or id#relation" if odd else "")
+    distinct = tuples.select(*COLUMNS).distinct().count()
+    add("Data Health", "duplicates", WARN if distinct < rows * 0.9 else OK, f"{rows - distinct} of {rows} rows repeat another")
+    unused = sorted(f"{t}.{r}" for t, r in analysis.model.nodes() if analysis.model.refs(t, r) and not any((x["object_type"], x["relation"]) == (t, r) for x in found))
+    add("Data Health", "unused relations", OK, ", ".join(unused))
+    top = tuples.groupBy("object_type", "object_id", "relation").count().agg(F.max("count")).first()[0] or 0
+    add("Performance", "hot objects", WARN if rows > 10_000 and top > rows // 3 else OK, f"{top} tuples of one object and relation")
+    add("Performance", "recursion", OK, ", ".join(sorted(f"{t}.{r}" for g in analysis.order if analysis.recursive(g) for t, r in g)))
     for line in advise(tuples, rows):
         add("Performance", "layout", OK, line)
     stars = sum(x["n"] for x in found if x["wildcard"])

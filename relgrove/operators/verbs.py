@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -87,6 +89,13 @@ class Engine:
         held = Backward(self.analysis, self._facts(contextual), kind, rel, self.max_depth).value(object_type, relation, objects)
         return listed(held) if objects is None else listed(held).join(objects.select("object_id").distinct(), "object_id", "left_semi")
 
+    def explain_plan(self, subjects: DataFrame, relation: str, object_type: str) -> str:
+        """The physical plan that lists objects for the subjects, as text; a dry run, apart from rounds of recursion."""
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            self.objects_of(subjects, relation, object_type).explain("formatted")
+        return out.getvalue()
+
     def list_subjects(self, object_type: str, object_id: str, relation: str, subject_type: str, limit: int | None = None, after: str | None = None, contextual=None) -> DataFrame:
         """(subject_id, next_cursor): the subjects that hold a relation on an object, the wildcard first."""
         one = self.tuples.sparkSession.createDataFrame([(object_id,)], "object_id string")

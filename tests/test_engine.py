@@ -175,3 +175,34 @@ def test_expand(spark):
     trace = t.explain("user", "c", "viewer", "doc", "1")
     assert trace["result"] and trace["root"]["type"] == "userset"
     assert t.explain("user", "c", "viewer", "doc", "1", max_nodes=1)["truncated"]
+
+
+def test_plan_text_and_wildcards_off(spark):
+    e = engine_of(spark, "user:* viewer doc:1", "user:a viewer doc:2")
+    one = spark.createDataFrame([("user", "a")], "subject_type string, subject_id string")
+    assert "Join" in e.explain_plan(one, "viewer", "doc")
+    with_star, _ = e.grants(one, [("doc", "viewer")])
+    without, _ = e.grants(one, [("doc", "viewer")], wildcards=False)
+    assert {r["object_id"] for r in with_star.collect()} == {"1", "2"} and {r["object_id"] for r in without.collect()} == {"2"}
+
+
+CASES = [
+    # (schema lines of type doc, tuples, (subject, relation, object) -> allowed)
+    ("define r: [user:*] but not b\n    define b: [user]", ["user:* r doc:1", "user:bob b doc:1"], {("user:ann", "r", "doc:1"): 1, ("user:bob", "r", "doc:1"): 0, ("user:*", "r", "doc:1"): 1}),
+    ("define r: [user] but not b\n    define b: [user:*]", ["user:ann r doc:1", "user:* b doc:1"], {("user:ann", "r", "doc:1"): 0}),
+    ("define r: a and p\n    define a: [user]\n    define p: [user:*]", ["user:ann a doc:1", "user:* p doc:1"], {("user:ann", "r", "doc:1"): 1, ("user:bob", "r", "doc:1"): 0}),
+    ("define r: [user, doc#r]", ["doc:2#r r doc:1", "user:ann r doc:2"], {("user:ann", "r", "doc:1"): 1, ("doc:2#r", "r", "doc:1"): 1, ("doc:1#r", "r", "doc:1"): 1, ("doc:3#r", "r", "doc:1"): 0}),
+    ("define o: [user]\n    define r: [user, doc#o] or o", ["doc:2#o r doc:1"], {("doc:1#o", "r", "doc:1"): 1, ("doc:2#o", "r", "doc:1"): 1, ("doc:2#r", "r", "doc:1"): 0}),
+    ("define parent: [doc, group]\n    define r: [user] or r from parent", ["group:x parent doc:1", "user:ann r doc:x"], {("user:ann", "r", "doc:1"): 0, ("user:ann", "r", "doc:x"): 1}),
+    ("define r: (a but not b) or c\n    define a: [user]\n    define b: [user]\n    define c: [user]", ["user:ann c doc:1", "user:ann b doc:1"], {("user:ann", "r", "doc:1"): 1}),
+    ("define r: [user] and (a or b)\n    define a: [user]\n    define b: a", ["user:ann r doc:1", "user:bob a doc:1"], {("user:ann", "r", "doc:1"): 0, ("user:bob", "r", "doc:1"): 0}),
+]
+
+
+@pytest.mark.parametrize("lines, tuples, wanted", CASES)
+def test_shapes(spark, lines, tuples, wanted):
+    schema = f"model\n  schema 1.1\ntype user\ntype group\n  relations\n    define r: [user]\ntype doc\n  relations\n    {lines}\n"
+    e = engine_of(spark, *tuples, schema=schema)
+    rows = [(k, *parse_tuple(*q)) for k, q in enumerate(wanted)]
+    got = e.check_bulk(spark.createDataFrame(rows, "idx int, subject_type string, subject_id string, relation string, object_type string, object_id string"))
+    assert [r["allowed"] for r in got.orderBy("idx").collect()] == list(wanted.values())
