@@ -11,6 +11,7 @@ from relgrove.llm.common import checkpointed
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = checkpointed(least)  # so that both sides of the join are shuffled for it, and it may split the edges of a hot node
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

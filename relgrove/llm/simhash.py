@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = every.groupBy("root").agg(F.min("first").alias("least"))
     moved = every.join(least, "root").select("fp", "least")
     firsts = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    firsts = checkpointed(firsts)  # so that both sides of the join below are shuffled for it, and it may split the rows of a hot fingerprint
     return thin.join(firsts, "fp").select(
         "rid", "doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept")
     )
