@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from relgrove.functions.userset import is_userset, is_wildcard, subject_object, subject_relation
 from relgrove.operators.common import checkpointed, union_of
 from relgrove.plans.analysis import MAX_DEPTH, Analysis, Node
-from relgrove.plans.model import Computed, Difference, Expr, FromLink, Intersection, This, Union
+from relgrove.plans.model import Computed, Difference, Expr, FromLink, Intersection, This, Union, walk
 
 KEY = ["subject_type", "subject_id", "object_id"]
 
@@ -86,20 +86,28 @@ class Forward:
     def _rows(self, node: Node, relation: str, *types: str) -> DataFrame:
         return self.tuples.where((F.col("object_type") == node[0]) & (F.col("relation") == relation) & F.col("subject_type").isin(*types))
 
+    def _named(self, node: Node, e: This) -> DataFrame:
+        """Plain subjects that tuples name, and the wildcard as itself."""
+        plain = [r.type for r in e.refs if not r.relation and not r.wildcard]
+        stars = [r.type for r in e.refs if r.wildcard]
+        typed = F.col("subject_type").isin(*plain) & ~is_userset("subject_id") if plain else F.lit(False)
+        star = F.col("subject_type").isin(*stars) & is_wildcard("subject_id") if stars else F.lit(False)
+        return self._rows(node, node[1], *plain, *stars).where((typed & ~is_wildcard("subject_id")) | star).select(*KEY)
+
+    def _everyone(self, node: Node, e: This) -> DataFrame:
+        """(subject_type, object_id) of wildcard grants."""
+        stars = [r.type for r in e.refs if r.wildcard]
+        return self._rows(node, node[1], *stars).where(is_wildcard("subject_id")).select("subject_type", "object_id").distinct()
+
     def _direct(self, node: Node, e: This) -> list[DataFrame]:
         out = []
         plain = [r.type for r in e.refs if not r.relation and not r.wildcard]
         stars = [r.type for r in e.refs if r.wildcard]
         if plain or stars:
-            rows = self._rows(node, node[1], *plain, *stars)
-            typed = F.col("subject_type").isin(*plain) & ~is_userset("subject_id") if plain else F.lit(False)
-            star = F.col("subject_type").isin(*stars) & is_wildcard("subject_id") if stars else F.lit(False)
-            ids = rows.where((typed & ~is_wildcard("subject_id")) | star).select(*KEY)
-            out.append(ids.join(self.subjects, ["subject_type", "subject_id"]).select(*KEY))
+            out.append(self._named(node, e).join(self.subjects, ["subject_type", "subject_id"]).select(*KEY))
             if stars and self.wildcards:
-                everyone = rows.where(star).select("subject_type", "object_id").distinct()
                 single = self.subjects.where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
-                out.append(everyone.join(single, "subject_type").select(*KEY))
+                out.append(self._everyone(node, e).join(single, "subject_type").select(*KEY))
         return out
 
     def _via_userset(self, node: Node, ref, held: DataFrame) -> DataFrame:
@@ -131,19 +139,88 @@ class Forward:
             out = [v for p in e.parts if (v := self._eval(node, p, values, delta)) is not None]
         elif isinstance(e, Intersection):
             out = []
-            for k, p in enumerate(e.parts if delta is not None else e.parts[:1]):
+            # without wildcards first: the others then only test its rows, and no wildcard is multiplied by all subjects
+            parts = sorted(e.parts, key=lambda p: self._starred(node, p))
+            for k, p in enumerate(parts if delta is not None else parts[:1]):
                 if (value := self._eval(node, p, values, delta)) is not None:
-                    for j, other in enumerate(e.parts):
+                    for j, other in enumerate(parts):
                         if j != k:
-                            value = value.join(self._eval(node, other, values, None), KEY, "left_semi")
+                            value = self._keep(node, other, values, value)
                     out.append(value)
         else:
             base = self._eval(node, e.base, values, delta)
-            out = [] if base is None else [base.join(self._eval(node, e.subtract, values, None), KEY, "left_anti")]
+            out = [] if base is None else [self._drop(node, e.subtract, values, base)]
         if not out:
             return None if delta is not None else self._empty()
         return union_of(out)
 
+    def _starred(self, node: Node, e: Expr) -> bool:
+        return any(isinstance(x, This) and any(r.wildcard for r in x.refs) for x in walk(e)) or any(self.analysis.wildcard_types[n] for n in self.analysis.depends(node, e))
+
+    def _tests(self, node: Node, e: This, values: dict[Node, DataFrame]) -> list[tuple[DataFrame, list[str]]]:
+        """What grants directly, as (rows, columns to join by); wildcards are joined by type and object."""
+        named = [(self._named(node, e), KEY)] if any(not r.relation for r in e.refs) else []
+        star = [(self._everyone(node, e), ["subject_type", "object_id"])] if self.wildcards and any(r.wildcard for r in e.refs) else []
+        return named + star + [(self._via_userset(node, r, values[r.type, r.relation]), KEY) for r in e.refs if r.relation]
+
+    def _single(self, node: Node) -> bool:
+        """Whether a relation's own expression can test rows; else its value does."""
+        return not self.analysis.recursive(self.analysis.order[self.analysis.group_of[node]])
+
+    def _keep(self, node: Node, e: Expr, values: dict[Node, DataFrame], rows: DataFrame) -> DataFrame:
+        """Of candidate rows, those that the expression grants."""
+        if isinstance(e, This):
+            kept = [self._testable(rows, on).join(t, on, "left_semi") for t, on in self._tests(node, e, values)]
+            return kept[0] if len(kept) == 1 else union_of(kept).distinct()
+        if isinstance(e, Computed):
+            other = (node[0], e.relation)
+            if not self._single(other):
+                return rows.join(values[other], KEY, "left_semi")
+            return self._keep(other, self.model.expr(*other), values, rows).unionByName(rows.join(self._self_rows(other), KEY, "left_semi")).distinct()
+        if isinstance(e, Union):
+            return union_of([self._keep(node, p, values, rows) for p in e.parts]).distinct()
+        if isinstance(e, Intersection):
+            for p in e.parts:
+                rows = self._keep(node, p, values, rows)
+            return rows
+        if isinstance(e, Difference):
+            return self._drop(node, e.subtract, values, self._keep(node, e.base, values, rows))
+        return rows.join(self._eval(node, e, values, None), KEY, "left_semi")
+
+    def _drop(self, node: Node, e: Expr, values: dict[Node, DataFrame], rows: DataFrame) -> DataFrame:
+        """Of candidate rows, those that the expression does not grant."""
+        if isinstance(e, This):
+            for t, on in self._tests(node, e, values):
+                if on == KEY:
+                    rows = rows.join(t, KEY, "left_anti")
+                else:
+                    t = t.select(F.col("subject_type").alias("star_type"), F.col("object_id").alias("star_object"))
+                    same = (F.col("subject_type") == F.col("star_type")) & (F.col("object_id") == F.col("star_object")) & ~is_userset("subject_id") & ~is_wildcard("subject_id")
+                    rows = rows.join(t, same, "left_anti")
+            return rows
+        if isinstance(e, Computed) and self._single((node[0], e.relation)):
+            other = (node[0], e.relation)
+            return self._drop(other, self.model.expr(*other), values, rows).join(self._self_rows(other), KEY, "left_anti")
+        if isinstance(e, Union):
+            for p in e.parts:
+                rows = self._drop(node, p, values, rows)
+            return rows
+        return rows.join(self._keep(node, e, values, rows), KEY, "left_anti")
+
+    @staticmethod
+    def _testable(rows: DataFrame, on: list[str]) -> DataFrame:
+        """Wildcards cover plain ids only."""
+        return rows if on == KEY else rows.where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
+
+    def holding(self, type_name: str, relation: str, rows: DataFrame) -> DataFrame:
+        """Of candidate rows (subject_type, subject_id, object_id), those whose subject holds the relation.
+
+        Only recursive relations, and those reached over links and usersets, are
+        evaluated for all subjects; the rest is tested row by row with semi-joins.
+        """
+        self.value(type_name, relation)  # prepares what is recursive; the rest is a plan that nothing runs
+        return self._keep((type_name, relation), Computed(relation), self.values, rows.select(*KEY).distinct())
+
     def _loop(self, group: list[Node]) -> None:
         """Rounds until nothing new comes; each joins the rows that the last one added."""
         inside = set(group)

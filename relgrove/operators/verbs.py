@@ -56,7 +56,15 @@ class Engine:
             names = requests.select("object_type", "relation").distinct()
             names = names.where(F.concat_ws("\x1f", "object_type", "relation").isin([f"{t}\x1f{r}" for t, r in known]))
             pairs = sorted((x[0], x[1]) for x in names.collect())  # no more than the model has relations
-        granted, truncated = self.grants(requests.select("subject_type", "subject_id").dropna(), pairs, contextual)
+        forward = Forward(self.analysis, self._facts(contextual), requests.select("subject_type", "subject_id").dropna(), True, self.max_depth)
+        held = []
+        for t, r in pairs:
+            if self.analysis.model.expr(t, r) is not None:
+                asked = requests.where((F.col("object_type") == t) & (F.col("relation") == r)).dropna(subset=REQUEST)
+                held.append(forward.holding(t, r, asked).select("subject_type", "subject_id", F.lit(r).alias("relation"), F.lit(t).alias("object_type"), "object_id"))
+        if not held:
+            return requests.select("idx", F.lit(0).alias("allowed"))
+        granted, truncated = union_of(held), forward.truncated
         out = requests.select("idx", *REQUEST).join(granted.withColumn("held", F.lit(1)), REQUEST, "left").select("idx", F.coalesce("held", F.lit(0)).cast("int").alias("allowed"))
         if truncated and not out.where("allowed = 0").isEmpty():
             raise ResolutionTooDeep(f"no answer within {self.max_depth} steps")
