@@ -1,15 +1,23 @@
 """Line dedup by content-defined chunks of lines (operator 9, DataFrame functions only).
 
 Each line is hashed, and a hash rolls over the hashes of two neighbouring
-lines; where it is divisible by ``divisor``, a chunk of lines begins. As a
-boundary depends on two lines only, inserted or removed lines elsewhere shift
-nothing, and passages of several lines get the same inner chunks wherever they
-stand. Chunks of ``min_lines`` or more that occur again anywhere in the corpus
-are removed, all but the first by (doc_id, position).
-
-Chunks meet by their 64-bit hash with map-side aggregation; the least and the
-greatest chunk of each repeated hash are compared byte by byte, and should they
-ever differ, grouping is done by the chunks themselves.
+lines. Two bits of it decide for one chunking whether a chunk begins between
+the two lines (three times in four), the next two bits for another, and so on:
+``chunkings`` chunkings of each text. A boundary depends on two lines only, so
+lines that come or go elsewhere shift nothing. At the edges of a shared passage
+one line is foreign, and each copy has its own; a single chunking would seldom
+cut just there in all copies, but one of many does. The boundaries of all
+chunkings are the bits of a number, so they are compared at once.
+
+Chunks of 2 to ``max_lines`` lines that occur again anywhere in the corpus are
+removed, all but the first by (doc_id, position). What is cut points to an
+earlier copy, so the first copy of each line that repeats stays somewhere. A
+line that follows itself is no passage; such runs stay unless they repeat.
+
+Chunks meet by a 64-bit hash of their lines' hashes, eight bytes a chunk.
+Those that occur again are compared byte by byte (the least and the greatest
+chunk of each hash); should they ever differ, grouping is done by the chunks
+themselves. Texts move by row number, never by chunk.
 
 Defined results: null text counts as empty, which is one empty line. Repeated
 rows count as documents of their own. Rows without doc_id come after all
@@ -18,71 +26,96 @@ others. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgrove.llm.common import checkpointed, row_number_of_scan, text_of
 
-DIVISOR, MIN_LINES = 3, 2
+CHUNKINGS, MAX_LINES = 24, 8
+#: Bits of a line's hash; 31 times it and another still fit into a long.
+_HASH_DIGITS = 14
 
-_CHUNKS = r"""
-transform(array(split(text, '\n')), ls ->
- transform(array(transform(ls, l -> cast(conv(substring(md5(l), 1, 8), 16, 10) as bigint))), hs ->
-  transform(array(filter(sequence(0, size(ls) - 1), i -> i = 0 or pmod(hs[i - 1] * 31 + hs[i], {divisor}) = 0)), st ->
-   transform(st, (s, k) -> named_struct(
-    'pos', s,
-    'n', coalesce(get(st, k + 1), size(ls)) - s,
-    'chunk', array_join(slice(ls, s + 1, coalesce(get(st, k + 1), size(ls)) - s), '\n'))))[0])[0])[0]
+#: For each line: its number, the boundaries before it and the next ones, and the hashes of as many lines from it on.
+_LINES = r"""
+transform(array(transform(ls, l -> cast(conv(substring(md5(l), 1, {digits}), 16, 10) as bigint))), hs ->
+ transform(array(transform(hs, (h, i) -> if(i = 0, {every}L, (hs[i - 1] * 31 + h | shiftright(hs[i - 1] * 31 + h, 1)) & {every}L))), bs ->
+  transform(sequence(0, size(hs) - 2), i -> named_struct('pos', i, 'b', slice(bs, i + 1, {lines} + 1), 'h', slice(hs, i + 1, {lines})))
+ )[0])[0]
 """
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(rid, doc_id, pos, n, chunk): the chunks of ``min_lines`` or more lines; pos is the first line, from 0."""
-    base = docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    return base.select("rid", "doc_id", F.inline(F.expr(_CHUNKS.format(divisor=int(divisor))))).where(F.col("n") >= min_lines)
+def every_chunking(chunkings: int = CHUNKINGS) -> int:
+    """A boundary of all chunkings: each even bit."""
+    if not 1 <= chunkings <= 28:
+        raise ValueError("there must be 1 to 28 chunkings")
+    return int("01" * chunkings, 2)
+
+
+def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), F.split(text_of(text), "\n").alias("ls"))
+
+
+def _piece(pos: Column, n: Column) -> Column:
+    return F.array_join(F.slice("ls", pos + 1, n), "\n")
+
 
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int | None = 64) -> DataFrame:
+    """(rid, doc_id, pos, n, key): the chunks of 2 to ``max_lines`` lines; pos is the first line, from 0.
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64) -> tuple[DataFrame, bool]:
-    """The chunks that occur again, with the occurrence that stays, by key; and whether the key is a verified hash (else the chunk)."""
+    The key is a hash of ``hash_bits`` bits, the chunk itself if that is None.
+    """
+    every = every_chunking(chunkings)
+    lines = _LINES.format(digits=_HASH_DIGITS, every=every, lines=int(max_lines))
+    texts = _base(docs, doc_id, text).where(F.size("ls") > 1)
+    rows = texts.select("rid", "doc_id", *([] if hash_bits else ["ls"]), F.inline(F.expr(lines)))
+    after = lambda k: F.coalesce(F.get("b", F.lit(k)), F.lit(every))  # noqa: E731: the end of the text is a boundary of all chunkings
+    sizes = []
+    for n in range(2, max_lines + 1):
+        through = reduce(lambda m, k: m.bitwiseAND(F.bitwise_not(after(k))), range(1, n), F.get("b", F.lit(0)))
+        sizes.append(F.when(through.bitwiseAND(after(n)) != 0, F.lit(n)))
+    found = rows.withColumn("n", F.explode(F.array_compact(F.array(*sizes))))
+    key = F.xxhash64(F.slice("h", F.lit(1), F.col("n"))) if hash_bits else _piece(F.col("pos"), F.col("n"))
+    return found.select("rid", "doc_id", "pos", "n", (F.pmod(key, F.lit(1 << hash_bits)) if hash_bits and hash_bits < 64 else key).alias("key"))
 
-    def grouped(key):
-        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
-        return chunks(docs, doc_id, text, divisor, min_lines).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("keep"), (F.min("chunk") == F.max("chunk")).alias("same")).where("copies > 1")
 
-    found = checkpointed(grouped(chunk_hash(hash_bits)))
-    if found.where(~F.col("same")).limit(1).count() == 0:
-        return found, True
-    return checkpointed(grouped(F.col("chunk"))), False
+def repeats(every: DataFrame) -> DataFrame:
+    """(rid, cut) for each row with chunks that occur again: those chunks as (pos, n, key, gone); gone: not the first one."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
+    found = checkpointed(every.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("keep")).where("copies > 1"))
+    gone = (F.col("rid") != F.col("keep.rid")) | (F.col("pos") != F.col("keep.pos"))
+    return every.join(found.select("key", "keep"), "key").groupBy("rid").agg(F.collect_list(F.struct("pos", "n", "key", gone.alias("gone"))).alias("cut"))
 
 
-def chunk_hash(hash_bits: int = 64):
-    h = F.xxhash64("chunk")
-    return h if hash_bits >= 64 else F.pmod(h, F.lit(1 << hash_bits))
+def unverified(docs: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The keys that stand for chunks that differ, by comparing bytes."""
+    texts = _base(docs, doc_id, text).join(cuts, "rid").select("ls", F.explode("cut").alias("c"))
+    pieces = texts.select(F.col("c.key").alias("key"), _piece(F.col("c.pos"), F.col("c.n")).alias("chunk"))
+    return pieces.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest")).where("least != greatest").select("key")
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64) -> DataFrame:
-    """(rid, cut): for each row that loses lines, the runs of lines to cut as (pos, n)."""
-    found, hashed = repeated(docs, doc_id, text, divisor, min_lines, hash_bits)
-    every = chunks(docs, doc_id, text, divisor, min_lines)
-    every = every.select("rid", "pos", "n", (chunk_hash(hash_bits) if hashed else F.col("chunk")).alias("key"))
-    gone = every.join(found.select("key", "keep"), "key").where((F.col("rid") != F.col("keep.rid")) | (F.col("pos") != F.col("keep.pos")))
-    return gone.groupBy("rid").agg(F.collect_list(F.struct("pos", "n")).alias("cut"))
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 64) -> DataFrame:
+    """(rid, cut): for each row that has chunks which occur again, those chunks as (pos, n, key, gone)."""
+    cuts = checkpointed(repeats(chunks(docs, doc_id, text, chunkings, max_lines, hash_bits)))
+    if unverified(docs, cuts, doc_id, text).limit(1).count() == 0:
+        return cuts
+    return checkpointed(repeats(chunks(docs, doc_id, text, chunkings, max_lines, None)))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES, hash_bits: int = 64) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 64) -> DataFrame:
     """(doc_id, n_lines, removed_lines, text): each row's text without the lines of chunks that stand elsewhere already."""
-    cut = removals(docs, doc_id, text, divisor, min_lines, hash_bits)
-    base = docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    gone = F.flatten(F.transform("cut", lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1)))
-    left = F.expr(r"""transform(array(split(text, '\n')), ls -> array_join(
-        transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\n'))[0]""")
+    cuts = removals(docs, doc_id, text, chunkings, max_lines, hash_bits)
+    gone = F.array_distinct(F.flatten(F.transform(F.filter("cut", lambda c: c["gone"]), lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1))))
+    lines = cuts.select("rid", gone.alias("gone")).where(F.size("gone") > 0)
+    left = F.expr(r"array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\n')")
     return (
-        base.join(cut, "rid", "left")
-        .select("doc_id", "text", gone.alias("gone"))
+        _base(docs, doc_id, text)
+        .join(lines, "rid", "left")
         .select(
             "doc_id",
-            F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-            F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("removed_lines"),
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+            F.size("ls").cast("long").alias("n_lines"),
+            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
+            F.when(F.col("gone").isNull(), F.array_join("ls", "\n")).otherwise(left).alias("text"),
         )
     )

@@ -78,15 +78,23 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+_EVERY = line_dedup.every_chunking()
+
 _OP9 = f"""
 WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM a),
-h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-b AS (SELECT *, CASE WHEN i = 1 OR (lag(h) OVER w * 31 + h) % {line_dedup.DIVISOR} = 0 THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM b),
-k AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, c),
-r AS (SELECT doc_id, c, n, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, c) AS rn FROM k),
-j AS (SELECT c.doc_id, c.i, c.line, r.n >= {line_dedup.MIN_LINES} AND r.rn > 1 AS gone FROM c JOIN r ON c.doc_id = r.doc_id AND c.c = r.c)
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 14) AS BIGINT) AS h FROM l),
+v AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h AS v FROM h),
+b AS (SELECT *, CASE WHEN i = 1 THEN {_EVERY} ELSE (v | (v >> 1)) & {_EVERY} END AS b FROM v),
+s AS (SELECT doc_id, i, list(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {line_dedup.MAX_LINES} FOLLOWING)
+ || list_transform(range({line_dedup.MAX_LINES}), lambda x: {_EVERY}) AS bs FROM b),
+n AS (SELECT doc_id, i, bs, unnest(range(2, {line_dedup.MAX_LINES} + 1)) AS n FROM s),
+c AS (SELECT doc_id, i, n FROM n WHERE list_reduce(list_transform(bs[1:n], lambda x, k: CASE WHEN k = 1 THEN x ELSE {_EVERY} & ~x END), lambda x, y: x & y) & bs[n + 1] != 0),
+k AS (SELECT c.doc_id, c.i, c.n, string_agg(l.line, chr(10) ORDER BY l.i) AS chunk FROM c JOIN l ON l.doc_id = c.doc_id AND l.i >= c.i AND l.i < c.i + c.n
+ GROUP BY c.doc_id, c.i, c.n HAVING count(*) = c.n),
+r AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, chunk ORDER BY doc_id, i) AS rn FROM k),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(n)) AS i FROM r WHERE rn > 1),
+j AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS removed_lines,
  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
 FROM j GROUP BY doc_id

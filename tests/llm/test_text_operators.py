@@ -170,17 +170,22 @@ def test_line_dedup_by_brute_force(spark):
         at = rng.randrange(len(own) + 1)
         rows.append((d, "\n".join(own[:at] + (passage if d % 3 == 0 else []) + own[at:])))
     rows += [(50, None), (51, ""), (52, "\n\n\n"), (53, rows[0][1]), (54, "\n".join(words(rng, 3) for _ in range(700)))]
-    h = lambda x: int(md5(x.encode()).hexdigest()[:8], 16)
-    chunks = []
+    h = lambda x: int(md5(x.encode()).hexdigest()[:14], 16)
+    chunks = set()
     for d, t in rows:
         ls = (t or "").split("\n")
-        starts = [k for k in range(len(ls)) if k == 0 or (h(ls[k - 1]) * 31 + h(ls[k])) % 3 == 0]
-        chunks += [(d, s, "\n".join(ls[s:e]), e - s) for s, e in zip(starts, [*starts[1:], len(ls)], strict=True)]
-    first, want = {}, {}
-    for d, s, c, n in chunks:
-        want.setdefault(d, [])
-        if n < 2 or first.setdefault(c, (d, s)) == (d, s):
-            want[d].append(c)
+        rolled = [h(a) * 31 + h(b) for a, b in zip(ls, ls[1:], strict=False)]
+        for k in range(line_dedup.CHUNKINGS):  # one chunking after the other
+            starts = [0, *(i for i, v in enumerate(rolled, 1) if v >> 2 * k & 3), len(ls)]
+            chunks |= {(d, s, "\n".join(ls[s:e]), e - s) for s, e in zip(starts, starts[1:], strict=False) if 2 <= e - s <= line_dedup.MAX_LINES}
+    first, gone = {}, {d: set() for d, _ in rows}
+    for d, s, c, n in sorted(chunks):
+        if first.setdefault((n, c), (d, s)) != (d, s):
+            gone[d].update(range(s, s + n))
+    want = {d: [x for i, x in enumerate((t or "").split("\n")) if i not in gone[d]] for d, t in rows}
+    holders = [d for d in range(40) if d % 3 == 0]
+    assert sum(set(passage) <= set(want[d]) for d in holders) == 1  # the passage is caught wherever it stands
+    assert sum(len(set(passage) & set(want[d])) for d in holders) <= 12 + len(holders)
     for bits in (64, 3):
         got = {r["doc_id"]: r for r in line_dedup.deduplicate(clashing(spark, rows), hash_bits=bits).collect()}
         assert {d: r["text"] for d, r in got.items()} == {d: "\n".join(c) for d, c in want.items()}
