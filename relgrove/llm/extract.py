@@ -6,12 +6,14 @@ text (menus, footers, forms, scripts, parts whose class or id names an advert,
 a notice, a sidebar, comments) are left out. For the others, the ratio of text
 to tags per line is smoothed by a Gaussian, and lines over a threshold (the
 standard deviation of the ratios) form clusters of content. Where the page
-marks articles (``article`` or ``main``), the one with the greatest ratio mass
-is the region; else it reaches from the first to the last cluster. The region's
-lines are kept whole, short ones too.
+marks articles (``article``, ``main``, their roles), the one with the greatest
+ratio mass is the region; else it reaches from the first to the last cluster,
+without lines at its ends that are mostly links or a copyright. The region's
+lines are kept whole, short ones too. Text of links counts for no ratio where
+no article is marked.
 
 Defined results: null or empty html gives an empty text, as does a page without
-any text outside of the parts left out. A page of which nothing stands out has
+any text outside of the parts left out, or of links only. A page of which nothing stands out has
 its greatest ratio as the one cluster. Tags that are never closed end with
 their parent or the page. Repeated rows are rows of their own. A null page_id
 or url stays null. An empty table gives an empty result; extra columns are
@@ -36,11 +38,16 @@ SKIPPED = frozenset("script style noscript template head title nav footer aside
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of a class or an id that name parts which are no article text.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager skip copyright".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager skip copyright adbox adblock adunit adcontainer adwrapper leaderboard skyscraper topnav mainnav subnav sidenav sitenav pagenav navlist cookiebar cookiebanner commentlist".split()
 )
+#: Words that turn the meaning of a name around (with-sidebar, no-comments): it is that of a page or a wrapper.
+QUALIFIERS = frozenset("with has have no without free less not".split())
+#: Words that make a header one of the article.
+OWN_HEADERS = frozenset("article post entry content story title".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: Tags whose class or id says nothing: whole pages, and headings with anchors.
 NAMED_FREELY = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+_COPYRIGHT = re.compile(r"©|\(c\)\s*\d|copyright\b|all rights reserved", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A start tag of the key ends an open element of the values (HTML's implied end tags).
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,31 +69,37 @@ def _named_away(tag: str, attrs: list[tuple[str, str | None]], in_article: bool)
         if k == "role" and (v or "").lower() in ROLES:
             return True
         if k in ("class", "id") and v and tag not in NAMED_FREELY:
-            words = {w.lower() for one in v.split() for w in _SPLIT.split(one)}
-            if words & WORDS - ({"header"} if in_article else set()):
-                return True
+            for name in v.split():
+                words = {w.lower().rstrip("0123456789") for w in _SPLIT.split(name)}
+                if words & WORDS - ({"header"} if in_article or words & OWN_HEADERS else set()) and not words & QUALIFIERS:
+                    return True
     return False
 
 
+def _marks_article(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    return tag in ("article", "main") or any(k == "role" and (v or "").lower() in ("article", "main") or k == "itemprop" and (v or "").lower() == "articlebody" for k, v in attrs)
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page: [text parts, tags, article number (0: none)]."""
+    """Collects the lines of a page: (text, tags, article number (0: none), characters of its links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, bool, int]] = []  # tag, leads to skipping, article number
         self.parts: list[str] = []
-        self.tags = self.articles = self.article = self.skipping = 0
+        self.tags = self.articles = self.article = self.skipping = self.anchors = self.linked = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(1, self.tags), self.article))
-        self.parts, self.tags = [], 0
+            self.lines.append((text, max(1, self.tags), self.article, min(self.linked, len(text))))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def pop(self) -> str:
         tag, skips, outer = self.open.pop()
         self.skipping -= skips
+        self.anchors -= tag == "a"
         self.article = outer
         return tag
 
@@ -109,7 +122,8 @@ class Lines(HTMLParser):
         away = _named_away(tag, attrs, bool(self.article))
         self.open.append((tag, away, self.article))
         self.skipping += away
-        if tag in ("article", "main") and not self.skipping and not self.article:
+        self.anchors += tag == "a"
+        if _marks_article(tag, attrs) and not self.skipping and not self.article:
             self.articles += 1
             self.article = self.articles
 
@@ -131,13 +145,15 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.skipping:
             self.parts.append(data)
+            if self.anchors:
+                self.linked += len(" ".join(data.split()))
 
     def close(self):
         super().close()
         self.end_line()
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
+def lines_of(html: str) -> list[tuple[str, int, int, int]]:
     while True:
         parser = Lines()
         try:
@@ -163,23 +179,34 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, int]]) -> list[str]:
+def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
     """The lines of the content region."""
     if not lines:
         return []
-    ratios = smoothed([len(text) / tags for text, tags, _ in lines])
+    marked = any(article for _, _, article, _ in lines)
+    ratios = smoothed([(len(text) - (0 if marked else linked)) / tags for text, tags, _, linked in lines])
     mean = sum(ratios) / len(ratios)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
     content = [r >= threshold for r in ratios]
-    mass: dict[int, float] = {}
-    for (_, _, article), r, c in zip(lines, ratios, content, strict=True):
-        if article:
-            mass[article] = mass.get(article, 0.0) + r * c
-    if mass:
+    if marked:
+        mass: dict[int, float] = {}
+        for (_, _, article, _), r, c in zip(lines, ratios, content, strict=True):
+            if article:
+                mass[article] = mass.get(article, 0.0) + r * c
         best = max(mass, key=lambda a: (mass[a], -a))
-        return [text for text, _, article in lines if article == best]
+        return [text for text, _, article, _ in lines if article == best]
     first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
-    return [text for text, _, _ in lines[first : last + 1]]
+    while first <= last and _no_edge(lines[first]):
+        first += 1
+    while first <= last and _no_edge(lines[last]):
+        last -= 1
+    return [text for text, _, _, _ in lines[first : last + 1]]
+
+
+def _no_edge(line: tuple[str, int, int, int]) -> bool:
+    """Whether a line can't begin or end a region: mostly links (a menu), or a copyright."""
+    text, _, _, linked = line
+    return 2 * linked > len(text) or bool(_COPYRIGHT.match(text))
 
 
 def main_text(html: str | None) -> str:

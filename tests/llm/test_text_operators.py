@@ -195,6 +195,27 @@ def test_line_dedup_by_brute_force(spark):
     assert sorted(r["removed_lines"] > 0 for r in twins) == [False, True]
 
 
+# -- names, links and copyrights of pages ---------------------------------------
+
+
+LONG = "A paragraph of the text that has words enough to stand out from what is around it."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body class='has-sidebar'><div class='page with-sidebar'><div><p>{LONG}</p></div><div class='sidebar2'><p>{LONG}</p></div></div></body>", LONG),
+        (f"<article class='no-comments'><p>{LONG}</p><div class='comments'>{LONG}</div></article>", LONG),
+        (f"<div class='post'><div class='post-header'><h1>Title</h1></div><p>{LONG}</p></div><div class='page-footer'>{LONG}</div>", f"Title\n{LONG}"),
+        (f"<div><a href='/'>Home</a> <a href='/a'>About</a></div><p>{LONG}</p><p>Short, with <a>a link</a>.</p><p>{LONG}</p><div>\u00a9 2024 Us</div>", f"{LONG}\nShort, with a link.\n{LONG}"),
+        (f"<div role='main'><p>{LONG}</p></div><div><p>{LONG} {LONG}</p></div>", LONG),
+        ("<p><a href='/'>Home</a></p><p><a href='/a'>About</a></p>", ""),
+    ],
+)
+def test_main_text_by_names_and_links(html, want):
+    assert extract.main_text(html) == want
+
+
 # -- sharding ------------------------------------------------------------------
 
 
