@@ -26,7 +26,7 @@ from relgrove.llm.common import checkpointed, free_name, row_number_of_scan, tex
 
 #: A chunk has 512 characters at least and ends before a blank or a punctuation
 #: mark that two letters of certain classes follow; 4096 characters end it anyway.
-CHUNK = r"[\s\S]{512,4095}?(?:(?=[\s\p{P}][a-eA-EÀ-ß一-忿][m-sM-Sà-ï怀-翿])|\z)|[\s\S]{1,4096}"
+CHUNK = r"(?s).{512,4095}?(?:(?=[\s\p{P}][a-eA-EÀ-ß一-忿][m-sM-Sà-ï怀-翿])|\z)|.{1,4096}"  # "[\s\S]" for the dot would take ten times as long
 
 
 def chunks_of(text: Column) -> Column:
