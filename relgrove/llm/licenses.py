@@ -60,6 +60,22 @@ SENTENCES = {
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-details": "See the GNU General Public License for more details.",
     "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "gpl2-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "gpl2-only-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-write": "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "gpl2-write-2": "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA.",
+    "gpl-received-see": "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "gpl-received-see-2": "You should have received a copy of the GNU General Public License along with this program. If not, see <http://www.gnu.org/licenses/>.",
+    "lgpl21-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl2-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl3-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "lgpl2-details": "See the GNU Library General Public License for more details.",
+    "agpl3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program.",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
     "gpl3-licensed": "Licensed under the GNU General Public License, version 3.",
     "gpl2-work": "This work is licensed under the GNU General Public License, version 2.",
@@ -121,6 +137,40 @@ RULES = [
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa"]),
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd"]),
     ("LicenseRef-all-rights-reserved", ["rights-reserved"]),
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details", "gpl-received"]),
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details", "gpl2-write"]),
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details", "gpl2-write-2"]),
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details", "gpl-received-see"]),
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details", "gpl-received-see-2"]),
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-or-later", ["gpl2-later"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details", "gpl-received"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details", "gpl2-write"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details", "gpl2-write-2"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details", "gpl-received-see"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details", "gpl-received-see-2"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-hope", "gpl-details", "gpl-received"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-hope", "gpl-details", "gpl2-write"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-hope", "gpl-details", "gpl2-write-2"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-hope", "gpl-details", "gpl-received-see"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-hope", "gpl-details", "gpl-received-see-2"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-only", ["gpl2-only-2"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details", "gpl2-write"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details", "gpl2-write-2"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details", "gpl-received-see"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details", "gpl-received-see-2"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later", "lgpl-hope", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
+    ("LGPL-2.0-or-later", ["lgpl2-later", "lgpl-hope", "lgpl2-details"]),
+    ("LGPL-2.0-or-later", ["lgpl2-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "lgpl-hope", "lgpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-hope", "agpl-details", "agpl-received"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-hope", "agpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
 ]
 
 _WORD = re.compile(r"\w+")
