@@ -6,8 +6,9 @@ text (menus, footers, forms, scripts, parts whose class or id names an advert,
 a notice, a sidebar, comments) are left out. For the others, the ratio of text
 to tags per line is smoothed by a Gaussian, and lines over a threshold (the
 standard deviation of the ratios) form clusters of content. Where the page
-marks articles (``article``, ``main``, their roles), the one with the greatest
-ratio mass is the region; else it reaches from the first to the last cluster,
+marks articles (``article``, ``main``, their roles), the siblings of the greatest
+ratio mass are the region, each that holds content, unless the unmarked clusters
+have ``MARK_WEIGHT`` times their mass; else it reaches from the first to the last cluster,
 without lines at its ends that are mostly links or a copyright. The region's
 lines are kept whole, short ones too. Text of links counts for no ratio where
 no article is marked.
@@ -53,6 +54,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _P_ENDERS = BLOCKS - {"body", "head", "html"}
 _SCOPES = frozenset("article aside body div footer form header main nav section table td ul ol dl blockquote".split())
+#: How many times the marked parts' ratio mass the unmarked clusters need to replace them.
+MARK_WEIGHT = 3.0
+#: Article numbers of one parent begin at a multiple of this.
+_SIBLINGS = 1 << 20
 SIGMA, RADIUS = 1.0, 2
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]
 
@@ -88,7 +93,9 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, bool, int]] = []  # tag, leads to skipping, article number
         self.parts: list[str] = []
-        self.tags = self.articles = self.article = self.skipping = self.anchors = self.linked = 0
+        self.parents: dict[int, int] = {}  # serial number of a parent: last article number in it
+        self.serials: list[int] = [0]  # those of the open elements
+        self.serial = self.tags = self.articles = self.article = self.skipping = self.anchors = self.linked = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -98,6 +105,7 @@ class Lines(HTMLParser):
 
     def pop(self) -> str:
         tag, skips, outer = self.open.pop()
+        self.serials.pop()
         self.skipping -= skips
         self.anchors -= tag == "a"
         self.article = outer
@@ -121,11 +129,18 @@ class Lines(HTMLParser):
             return
         away = _named_away(tag, attrs, bool(self.article))
         self.open.append((tag, away, self.article))
+        self.serial += 1
+        self.serials.append(self.serial)
         self.skipping += away
         self.anchors += tag == "a"
         if _marks_article(tag, attrs) and not self.skipping and not self.article:
-            self.articles += 1
-            self.article = self.articles
+            parent = self.serials[-2]
+            if parent not in self.parents:
+                self.articles += 1
+                self.parents[parent] = self.articles * _SIBLINGS
+            else:
+                self.parents[parent] += 1
+            self.article = self.parents[parent]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as browsers do: the slash is ignored
@@ -190,11 +205,19 @@ def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
     content = [r >= threshold for r in ratios]
     if marked:
         mass: dict[int, float] = {}
+        groups: dict[int, float] = {}
         for (_, _, article, _), r, c in zip(lines, ratios, content, strict=True):
-            if article:
-                mass[article] = mass.get(article, 0.0) + r * c
-        best = max(mass, key=lambda a: (mass[a], -a))
-        return [text for text, _, article, _ in lines if article == best]
+            mass[article] = mass.get(article, 0.0) + r * c
+            groups[article // _SIBLINGS] = groups.get(article // _SIBLINGS, 0.0) + r * c
+        bare = groups.pop(0, 0.0)
+        best = max(groups, key=lambda g: (groups[g], -g))
+        if bare <= MARK_WEIGHT * groups[best]:
+            own = [a for a in mass if a and a // _SIBLINGS == best and mass[a] > 0]
+            if not own:
+                own = [min(a for a in mass if a and a // _SIBLINGS == best)]
+            return [text for text, _, article, _ in lines if article in own]
+        lines, content = zip(*((line, c) for line, c in zip(lines, content, strict=True) if not line[2]), strict=True)
+        content = list(content)
     first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
     while first <= last and _no_edge(lines[first]):
         first += 1
