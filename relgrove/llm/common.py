@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, deleted on leaving; what is read from it must be used up by then."""
+    path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as a Parquet table and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -42,7 +62,10 @@ def row_number_of_scan() -> Column:
     """A number for each row of a scan.
 
     The input must be a table (or a checkpoint): the split of its files, and so
-    the numbers, are then the same each time the scan runs again.
+    the numbers, are then the same each time the scan runs again. For tables of
+    less than ``spark.sql.files.maxPartitionBytes`` a core, the split also
+    depends on the number of cores; set ``spark.sql.files.minPartitionNum``
+    where executors may come and go while such a table is read.
     """
     return F.monotonically_increasing_id()
 

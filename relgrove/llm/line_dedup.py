@@ -14,10 +14,11 @@ removed, all but the first by (doc_id, position). What is cut points to an
 earlier copy, so the first copy of each line that repeats stays somewhere. A
 line that follows itself is no passage; such runs stay unless they repeat.
 
-Chunks meet by a 64-bit hash of their lines' hashes, eight bytes a chunk.
+Chunks meet by a 128-bit hash of their lines' hashes, sixteen bytes a chunk.
 Those that occur again are compared byte by byte (the least and the greatest
-chunk of each hash); should they ever differ, grouping is done by the chunks
-themselves. Texts move by row number, never by chunk.
+chunk of each hash). Where these differ, the copies of that hash, and only
+they, are grouped again by the chunks themselves. Texts are shuffled once, by
+row number: the comparison and the result read the same shuffle.
 
 Defined results: null text counts as empty, which is one empty line. Repeated
 rows count as documents of their own. Rows without doc_id come after all
@@ -31,11 +32,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relgrove.llm.common import checkpointed, row_number_of_scan, text_of
+from relgrove.llm.common import checkpointed, row_number_of_scan, scratch, text_of, written
 
 CHUNKINGS, MAX_LINES = 24, 8
 #: Bits of a line's hash; 31 times it and another still fit into a long.
 _HASH_DIGITS = 14
+KEY = ["key", "key_2"]
 
 #: For each line: its number, the boundaries before it and the next ones, and the hashes of as many lines from it on.
 _LINES = r"""
@@ -53,69 +55,106 @@ def every_chunking(chunkings: int = CHUNKINGS) -> int:
     return int("01" * chunkings, 2)
 
 
-def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), F.split(text_of(text), "\n").alias("ls"))
+def _lines_of(text: str) -> Column:
+    return F.split(text_of(text), "\n")
 
 
 def _piece(pos: Column, n: Column) -> Column:
     return F.array_join(F.slice("ls", pos + 1, n), "\n")
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int | None = 64) -> DataFrame:
-    """(rid, doc_id, pos, n, key): the chunks of 2 to ``max_lines`` lines; pos is the first line, from 0.
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 128) -> DataFrame:
+    """(rid, doc_id, pos, n, key, key_2): the chunks of 2 to ``max_lines`` lines; pos is the first line, from 0.
 
-    The key is a hash of ``hash_bits`` bits, the chunk itself if that is None.
+    The keys are a hash of 128 bits, or of ``hash_bits`` bits if that is under 64.
     """
     every = every_chunking(chunkings)
     lines = _LINES.format(digits=_HASH_DIGITS, every=every, lines=int(max_lines))
-    texts = _base(docs, doc_id, text).where(F.size("ls") > 1)
-    rows = texts.select("rid", "doc_id", *([] if hash_bits else ["ls"]), F.inline(F.expr(lines)))
+    texts = docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), _lines_of(text).alias("ls")).where(F.size("ls") > 1)
+    rows = texts.select("rid", "doc_id", F.inline(F.expr(lines)))
     after = lambda k: F.coalesce(F.get("b", F.lit(k)), F.lit(every))  # noqa: E731: the end of the text is a boundary of all chunkings
     sizes = []
     for n in range(2, max_lines + 1):
         through = reduce(lambda m, k: m.bitwiseAND(F.bitwise_not(after(k))), range(1, n), F.get("b", F.lit(0)))
         sizes.append(F.when(through.bitwiseAND(after(n)) != 0, F.lit(n)))
-    found = rows.withColumn("n", F.explode(F.array_compact(F.array(*sizes))))
-    key = F.xxhash64(F.slice("h", F.lit(1), F.col("n"))) if hash_bits else _piece(F.col("pos"), F.col("n"))
-    return found.select("rid", "doc_id", "pos", "n", (F.pmod(key, F.lit(1 << hash_bits)) if hash_bits and hash_bits < 64 else key).alias("key"))
+    found = rows.withColumn("n", F.explode(F.array_compact(F.array(*sizes)))).withColumn("h", F.slice("h", F.lit(1), F.col("n")))
+    if hash_bits < 64:
+        keys = F.pmod(F.xxhash64("h"), F.lit(1 << hash_bits)), F.lit(0).cast("long")
+    else:
+        keys = F.xxhash64("h"), F.xxhash64(F.lit(1), "h")
+    return found.select("rid", "doc_id", "pos", "n", *(k.alias(name) for k, name in zip(keys, KEY, strict=True)))
+
+
+def _first() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
+
+
+def _gone() -> Column:
+    return (F.col("rid") != F.col("keep.rid")) | (F.col("pos") != F.col("keep.pos"))
 
 
 def repeats(every: DataFrame) -> DataFrame:
-    """(rid, cut) for each row with chunks that occur again: those chunks as (pos, n, key, gone); gone: not the first one."""
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
-    found = checkpointed(every.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("keep")).where("copies > 1"))
-    gone = (F.col("rid") != F.col("keep.rid")) | (F.col("pos") != F.col("keep.pos"))
-    return every.join(found.select("key", "keep"), "key").groupBy("rid").agg(F.collect_list(F.struct("pos", "n", "key", gone.alias("gone"))).alias("cut"))
+    """(rid, cut) for each row with chunks whose key occurs again: those chunks as (pos, n, key, key_2, gone); gone: not the first one."""
+    found = checkpointed(every.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(_first()).alias("keep")).where("copies > 1"))
+    return every.join(found.drop("copies"), KEY).groupBy("rid").agg(F.collect_list(F.struct("pos", "n", *KEY, _gone().alias("gone"))).alias("cut"))
+
+
+def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rid, row): the id as text and the lines of each row, in one array.
+
+    One column, so that all readers of its shuffle need the same columns of it,
+    and Spark makes that shuffle once for all of them.
+    """
+    return docs.select(row_number_of_scan().alias("rid"), F.concat(F.array(F.col(doc_id).cast("string")), _lines_of(text)).alias("row"))
 
 
-def unverified(docs: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _opened(texts: DataFrame, *columns: str) -> DataFrame:
+    return texts.select("rid", F.get("row", F.lit(0)).alias("id"), F.slice("row", F.lit(2), F.size("row")).alias("ls"), *columns)
+
+
+def _pieces(texts: DataFrame, cuts: DataFrame, doc_id_type: str) -> DataFrame:
+    """(rid, doc_id, pos, n, key, key_2, chunk) for the chunks in the cuts."""
+    rows = _opened(texts.join(cuts, "rid"), "cut").select("rid", F.col("id").cast(doc_id_type).alias("doc_id"), "ls", F.explode("cut").alias("c"))
+    return rows.select("rid", "doc_id", "c.pos", "c.n", *(f"c.{k}" for k in KEY), _piece(F.col("c.pos"), F.col("c.n")).alias("chunk"))
+
+
+def unverified(pieces: DataFrame) -> DataFrame:
     """The keys that stand for chunks that differ, by comparing bytes."""
-    texts = _base(docs, doc_id, text).join(cuts, "rid").select("ls", F.explode("cut").alias("c"))
-    pieces = texts.select(F.col("c.key").alias("key"), _piece(F.col("c.pos"), F.col("c.n")).alias("chunk"))
-    return pieces.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest")).where("least != greatest").select("key")
+    return pieces.groupBy(*KEY).agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest")).where("least != greatest").select(*KEY)
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 64) -> DataFrame:
-    """(rid, cut): for each row that has chunks which occur again, those chunks as (pos, n, key, gone)."""
-    cuts = checkpointed(repeats(chunks(docs, doc_id, text, chunkings, max_lines, hash_bits)))
-    if unverified(docs, cuts, doc_id, text).limit(1).count() == 0:
-        return cuts
-    return checkpointed(repeats(chunks(docs, doc_id, text, chunkings, max_lines, None)))
+def regrouped(texts: DataFrame, cuts: DataFrame, bad: DataFrame, doc_id_type: str) -> DataFrame:
+    """(rid, again): the chunks of keys in ``bad`` as (pos, n, gone), grouped by their bytes."""
+    suspects = cuts.select("rid", F.inline("cut")).join(bad, KEY, "left_semi")
+    pieces = _pieces(texts, suspects.groupBy("rid").agg(F.collect_list(F.struct("pos", "n", *KEY)).alias("cut")), doc_id_type)
+    same = [*KEY, "chunk"]
+    keep = pieces.groupBy(*same).agg(F.min(_first()).alias("keep"))
+    return pieces.join(keep, same).groupBy("rid").agg(F.collect_list(F.struct("pos", "n", _gone().alias("gone"))).alias("again"))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 64) -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 128) -> DataFrame:
+    """(rid, cut): for each row that has chunks whose key occurs again, those chunks as (pos, n, key, key_2, gone)."""
+    with scratch(docs.sparkSession) as folder:
+        return checkpointed(repeats(written(chunks(docs, doc_id, text, chunkings, max_lines, hash_bits), folder)))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 128) -> DataFrame:
     """(doc_id, n_lines, removed_lines, text): each row's text without the lines of chunks that stand elsewhere already."""
     cuts = removals(docs, doc_id, text, chunkings, max_lines, hash_bits)
-    gone = F.array_distinct(F.flatten(F.transform(F.filter("cut", lambda c: c["gone"]), lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1))))
-    lines = cuts.select("rid", gone.alias("gone")).where(F.size("gone") > 0)
+    texts, id_type = texts_of(docs, doc_id, text), docs.schema[doc_id].dataType.simpleString()
+    again = regrouped(texts, cuts, unverified(_pieces(texts, cuts, id_type)), id_type)
+    valid = F.expr(
+        """array_distinct(flatten(concat(
+            transform(filter(cut, c -> c.gone AND NOT exists(again, a -> a.pos = c.pos AND a.n = c.n)), c -> sequence(c.pos, c.pos + c.n - 1)),
+            transform(filter(again, a -> a.gone), a -> sequence(a.pos, a.pos + a.n - 1)))))"""
+    )
+    none = F.expr("cast(array() as array<struct<pos:int,n:int,gone:boolean>>)")
+    rows = _opened(texts.join(cuts, "rid", "left").join(again, "rid", "left").withColumn("again", F.coalesce("again", none)), "cut", "again")
+    rows = rows.select(F.col("id").cast(id_type).alias("doc_id"), "ls", F.when(F.col("cut").isNotNull(), valid).alias("gone"))
     left = F.expr(r"array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\n')")
-    return (
-        _base(docs, doc_id, text)
-        .join(lines, "rid", "left")
-        .select(
-            "doc_id",
-            F.size("ls").cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
-            F.when(F.col("gone").isNull(), F.array_join("ls", "\n")).otherwise(left).alias("text"),
-        )
+    return rows.select(
+        "doc_id",
+        F.size("ls").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
+        F.when(F.col("gone").isNull(), F.array_join("ls", "\n")).otherwise(left).alias("text"),
     )
