@@ -49,21 +49,29 @@ _PROBE = "It's 12 o'clock,  naïve Übermut\n\n\tno—日本語 🙂 don't!!! <|
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """A function from a list of texts to lists of ids, the ids that ``tokenizers`` gives for the vocabulary at ``path``.
+    """A function from a text to its ids, those that ``tokenizers`` gives for the vocabulary at ``path``.
 
-    The vocabulary is run by a faster library for the same byte-level BPE; on a
-    probe with all kinds of characters both must give equal ids. Strings of
-    special tokens are ordinary text.
+    The vocabulary is run by a faster library for the same byte-level BPE, with
+    the same special tokens; on a probe with all kinds of characters both must
+    give equal ids. Texts that the faster one can't take (it gives up on a
+    million blanks in a row) go to ``tokenizers``.
     """
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     bytes_of = _byte_alphabet()
-    special = {t.content for t in slow.get_added_tokens_decoder().values()}
+    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
     ranks = {bytes(bytes_of[c] for c in token): i for token, i in slow.get_vocab().items() if token not in special}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    if fast.encode_ordinary(_PROBE) != slow.encode(_PROBE, add_special_tokens=False).ids:
-        return lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
-    return lambda texts: [fast.encode_ordinary(t) for t in texts]
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def exact(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    def quick(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            return exact(text)
+
+    return quick if quick(_PROBE) == exact(_PROBE) else exact
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -91,7 +99,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
         for b in batches:
             cols: list[list] = [[] for _ in fields]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.array([*encode([text.as_py() or ""])[0], end], "<u4")
+                own = np.array([*encode(text.as_py() or ""), end], "<u4")
                 for k, (s, n) in enumerate(cuts(len(own), sequence)):
                     row = [doc, k, s, n, zlib.crc32(own[s : s + n].tobytes())] + [own[s : s + n].astype(np.int32)] * ids
                     for c, v in zip(cols, row, strict=True):

@@ -433,6 +433,19 @@ def test_held_out_labels_change_nothing(spark):
 # -- packing -------------------------------------------------------------------
 
 
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path(packing.VOCABULARY)
+    slow, fast = Tokenizer.from_file(path), packing.encoder(path)
+    assert fast("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rng = random.Random(6)
+    marks = ["<|endoftext|>", " ", "  ", "\n", "\t", "'s", "'LL", "é", "e\u0301", "日本", "🙂", "\u00a0", "\u200b", "٣", "x1", "½", "İ", "ß", "\x00", "\r\n", "<|", "|>", "ﬁ", "\U0001f468\u200d\U0001f469"]
+    for _ in range(4000):
+        text = "".join(rng.choice(marks) if rng.random() < 0.5 else chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0xD800), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(rng.randrange(0, 40)))
+        assert fast(text) == slow.encode(text, add_special_tokens=False).ids, text
+
+
 def test_cuts():
     assert packing.cuts(1) == [(0, 1)] and packing.cuts(2048) == [(0, 2048)]
     assert packing.cuts(2049) == [(0, 1), (1, 2048)] and packing.cuts(4096) == [(0, 2048), (2048, 2048)]
@@ -480,12 +493,11 @@ def test_plan():
 
 
 def test_packing(spark):
-    rows = awkward() + [(None, "no id"), (90, "<|endoftext|> is text")]
+    rows = awkward() + [(None, "no id"), (90, "<|endoftext|> is an id"), (91, "a <|endoftext|> b<|endoftext|>"), (92, "\n" * 1_000_000 + "x")]
     got = packing.best_fit(clashing(spark, rows), sequence=256, ids=True).collect()
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.public_tokenizers.path(packing.VOCABULARY))
-    slow.encode_special_tokens = True
     want = sorted(([d, *slow.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows), key=repr)
     own = {}
     for r in got:
