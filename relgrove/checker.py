@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 from relgrove.operators.forward import ResolutionTooDeep
@@ -176,10 +176,30 @@ class Checker:
         return [r["subject_id"] for r in rows], rows[0]["next_cursor"] if rows else None
 
     def list_all_objects(self, subject, relation: str, object_type: str, contextual=None) -> list[str]:
-        return self.list_objects(subject, relation, object_type, Page(), contextual)[0]
+        return list(self.each_object(subject, relation, object_type, contextual))
 
     def list_all_subjects(self, obj, relation: str, subject_type: str, contextual=None) -> list[str]:
-        return self.list_subjects(obj, relation, subject_type, Page(), contextual)[0]
+        return list(self.each_subject(obj, relation, subject_type, contextual))
+
+    def each_object(self, subject, relation: str, object_type: str, contextual=None) -> Iterator[str]:
+        """All ids, a partition of them at a time on the driver: evaluated once, where pages would be evaluated each anew."""
+        if self._decided() == DENY:
+            return
+        s = Object.of(subject)
+        _validate(self.engine, s, relation, object_type, self.strict)
+        for row in self.engine.list_objects(s.type, s.id, relation, object_type, contextual=self._tuples(contextual)).toLocalIterator():
+            yield row["object_id"]
+
+    def each_subject(self, obj, relation: str, subject_type: str, contextual=None) -> Iterator[str]:
+        """All ids, the wildcard first, a partition of them at a time on the driver."""
+        if self._decided() == DENY:
+            return
+        o = Object.of(obj)
+        if self.strict and subject_type.partition("#")[0] not in self.engine.analysis.model.types:
+            raise UnknownType(f"unknown subject type {subject_type}")
+        _validate(self.engine, o, relation, o.type, self.strict)
+        for row in self.engine.list_subjects(o.type, o.id, relation, subject_type, contextual=self._tuples(contextual)).toLocalIterator():
+            yield row["subject_id"]
 
     def _trees(self, rows=None) -> Trees:
         tuples = self.engine.tuples if rows is None else self.engine.tuples.select(*SCHEMA.names).unionByName(tuples_from_rows(self.engine.tuples.sparkSession, rows))
@@ -260,6 +280,7 @@ class BulkCheck:
 
     checker: Checker
     items: list[BulkResult] = field(default_factory=list)
+    contextual: tuple = ()
 
     def add(self, subject, relation: str, obj, ident: str | None = None) -> BulkCheck:
         if len(self.items) >= MAX_BULK:
@@ -275,11 +296,19 @@ class BulkCheck:
             self.add(subject, relation, o)
         return self
 
+    def with_contextual(self, *tuples) -> BulkCheck:
+        """Tuples (subject type, subject id, relation, object type, object id) that count for this batch only."""
+        self.contextual += tuples
+        return self
+
     def execute(self) -> BulkResults:
+        """A request that can't be answered has an error of its own; the others are answered. Batches with contextual tuples leave the cache alone."""
         c = self.checker
         if (d := c._decided()) is not None:
             return BulkResults([replace(r, allowed=d == ALLOW) for r in self.items])
-        known: dict[tuple, bool] = {}
+        extra = c._tuples(self.contextual)
+        cache = c.cache if extra is None else None
+        known: dict[tuple, bool | Exception] = {}
         for r in self.items:
             key = ("check", r.subject, r.relation, r.object)
             try:
@@ -287,28 +316,38 @@ class BulkCheck:
             except InvalidRequest as e:
                 r.error = e
                 continue
-            if c.cache is not None and (found := c.cache.get(key)) is not None:
+            if cache is not None and (found := cache.get(key)) is not None:
                 known[key] = found
         open_keys = list(dict.fromkeys(k for r in self.items if r.error is None and (k := ("check", r.subject, r.relation, r.object)) not in known))
-        if open_keys:
-            rows = [(i, s.type, s.id, rel, o.type, o.id) for i, (_, s, rel, o) in enumerate(open_keys, 1)]
-            schema = "idx int, subject_type string, subject_id string, relation string, object_type string, object_id string"
-            pairs = sorted({(o.type, rel) for _, _, rel, o in open_keys if c.engine.analysis.model.expr(o.type, rel) is not None})
+        by_path = {k for k in open_keys if not c.engine.analysis.stratified((k[3].type, k[2]))}
+        known |= self._at_once([k for k in open_keys if k not in by_path], extra)
+        for k in by_path:  # as sets can't resolve them
             try:
-                for row in c.engine.check_bulk(c.engine.tuples.sparkSession.createDataFrame(rows, schema), pairs=pairs).collect():
-                    known[open_keys[row["idx"] - 1]] = bool(row["allowed"])
-            except (ResolutionTooDeep, UnstratifiedSchema) as e:
-                for r in self.items:
-                    if ("check", r.subject, r.relation, r.object) not in known:
-                        r.error = r.error or e
-            else:
-                if c.cache is not None:
-                    for k in open_keys:
-                        c.cache.set(k, known[k])
+                known[k] = bool(c._trees(extra).check(k[1].type, k[1].id, k[2], k[3].type, k[3].id))
+            except ResolutionTooDeep as e:
+                known[k] = e
+        for k in open_keys:
+            if cache is not None and not isinstance(known[k], Exception):
+                cache.set(k, known[k])
         for r in self.items:
-            r.allowed = r.error is None and known.get(("check", r.subject, r.relation, r.object), False)
+            found = known.get(("check", r.subject, r.relation, r.object), False)
+            if isinstance(found, Exception):
+                r.error = r.error or found
+            r.allowed = r.error is None and found is True
         return BulkResults(self.items)
 
+    def _at_once(self, keys: list[tuple], extra: list | None) -> dict[tuple, bool | Exception]:
+        """The answers of one job."""
+        if not keys:
+            return {}
+        engine = self.checker.engine
+        rows = [(i, s.type, s.id, rel, o.type, o.id) for i, (_, s, rel, o) in enumerate(keys)]
+        schema = "idx int, subject_type string, subject_id string, relation string, object_type string, object_id string"
+        pairs = sorted({(o.type, rel) for _, _, rel, o in keys if engine.analysis.model.expr(o.type, rel) is not None})
+        asked = engine.tuples.sparkSession.createDataFrame(rows, schema)
+        too_deep = ResolutionTooDeep(f"no answer within {engine.max_depth} steps")
+        return {keys[row["idx"]]: too_deep if row["error"] else bool(row["allowed"]) for row in engine.check_bulk(asked, extra, pairs, errors=True).collect()}
+
 
 def errors_by_code() -> dict[int, type[Exception]]:
     return {e.code: e for e in (InvalidRequest, UnknownType, ResolutionTooDeep)}

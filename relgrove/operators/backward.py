@@ -102,6 +102,9 @@ class Backward:
         self.analysis, self.model, self.tuples = analysis, analysis.model, tuples
         self.subject_type, self.relation, self.max_depth = subject_type, relation, max_depth
         self.truncated = False
+        #: The relations whose demand was cut off at the greatest depth.
+        self.cut: set[Node] = set()
+        self.demand: dict[Node, DataFrame] | None = None
         #: Within a loop, what each round joins is stored once: edges by their place in the schema.
         self.edges: dict[tuple, DataFrame] | None = None
 
@@ -118,10 +121,9 @@ class Backward:
             return Held(self._none())
         groups = self.analysis.needed([node])
         self.analysis.check_stratified(groups)
-        self.demand: dict[Node, DataFrame] | None = None
-        self.asked = (node, objects)
+        self.demand = None
         if objects is not None:
-            self._demands(node, objects.select(O).distinct(), groups)
+            self.demands({node: objects})
         values: dict[Node, Held] = {}
         for group in groups:
             if self.analysis.recursive(group):
@@ -148,9 +150,13 @@ class Backward:
         rows = self._rows(node, link, parent).where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
         return self._edge((node, link, parent), rows.select(F.col("subject_id").alias("via"), O).distinct())
 
-    def _demands(self, target: Node, objects: DataFrame, groups: list[list[Node]]) -> None:
-        """The objects of each relation on which the answer depends, found from the target down."""
-        self.demand = {target: objects}
+    def demands(self, asked: dict[Node, DataFrame]) -> dict[Node, DataFrame]:
+        """The objects (object_id) of each relation on which relations' values on given objects depend, found from these down.
+
+        ``cut`` tells the relations at which they end early.
+        """
+        groups = self.analysis.needed(list(asked))
+        self.demand = {node: objects.select(O).distinct() for node, objects in asked.items()}
         for group in reversed(groups):
             if self.analysis.recursive(group):
                 self._demand_loop(group)
@@ -159,6 +165,7 @@ class Backward:
                     for n, more in self._asks(node):
                         if n not in group:
                             self.demand[n] = self.demand[n].unionByName(more).distinct() if n in self.demand else more.distinct()
+        return self.demand
 
     def _demand_loop(self, group: list[Node]) -> None:
         front = {n: self.demand[n] for n in group if n in self.demand}
@@ -179,6 +186,7 @@ class Backward:
                     self.demand[n] = self.demand[n].unionByName(more) if n in self.demand else more
             if not front:
                 return
+        self.cut |= set(group)
 
     def _asks(self, node: Node):
         for x in walk(self.model.expr(*node)):

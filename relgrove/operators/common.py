@@ -3,29 +3,36 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
+import uuid
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares (``spark.checkpoint.dir``), so that plans stay short."""
-    spark = df.sparkSession
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="relgrove-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset in local mode one of this machine."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="relgrove-checkpoints-"))
-    # Stored rows keep the constraints of their plan, and these may name columns that
-    # the stored rows don't have, which breaks unions of them; so none are derived here.
-    setting, before = "spark.sql.constraintPropagation.enabled", spark.conf.get("spark.sql.constraintPropagation.enabled")
-    spark.conf.set(setting, "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(setting, before)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (configured or _own_folder()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again, so that plans stay short and lost executors cost no more than a read.
+
+    A table, not a checkpoint: a checkpoint keeps constraints of the plan that
+    made it, which may name columns that it doesn't have and break unions of it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def union_of(frames: list[DataFrame]) -> DataFrame:

@@ -26,6 +26,8 @@ from relgrove.plans.analysis import MAX_DEPTH, Analysis, Node
 from relgrove.plans.model import Computed, Difference, Expr, FromLink, Intersection, This, Union, walk
 
 KEY = ["subject_type", "subject_id", "object_id"]
+#: Subjects that are multiplied by wildcard grants in one task, about.
+_DEAL = 10_000
 
 
 class ResolutionTooDeep(RuntimeError):
@@ -37,14 +39,17 @@ class ResolutionTooDeep(RuntimeError):
 class Forward:
     """Values of relations for the given subjects (subject_type, subject_id)."""
 
-    def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH):
+    def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH, demand: dict[Node, DataFrame | None] | None = None):
         self.analysis, self.model, self.tuples = analysis, analysis.model, tuples
+        #: Relations whose value is wanted for some objects (object_id) only, or (None) for none.
+        self.demand = demand or {}
         # stored, as each direct grant joins them
         self.subjects = checkpointed(subjects.select("subject_type", "subject_id").distinct())
         self.wildcards, self.max_depth = wildcards, max_depth
         self.values: dict[Node, DataFrame] = {}
-        #: Whether some recursion was cut off at the greatest depth.
-        self.truncated = False
+        self._deals: int | None = None
+        #: The relations whose recursion was cut off at the greatest depth.
+        self.truncated: set[Node] = set()
         #: Within a loop, what each round joins is stored once: edges by their place in the schema.
         self.edges: dict[tuple, DataFrame] | None = None
 
@@ -84,7 +89,10 @@ class Forward:
         return own.select(F.lit(node[0]).alias("subject_type"), "subject_id", subject_object("subject_id").alias("object_id"))
 
     def _rows(self, node: Node, relation: str, *types: str) -> DataFrame:
-        return self.tuples.where((F.col("object_type") == node[0]) & (F.col("relation") == relation) & F.col("subject_type").isin(*types))
+        rows = self.tuples.where((F.col("object_type") == node[0]) & (F.col("relation") == relation) & F.col("subject_type").isin(*types))
+        if node not in self.demand:
+            return rows
+        return rows.where("false") if self.demand[node] is None else rows.join(self.demand[node], "object_id", "left_semi")
 
     def _named(self, node: Node, e: This) -> DataFrame:
         """Plain subjects that tuples name, and the wildcard as itself."""
@@ -107,9 +115,19 @@ class Forward:
             out.append(self._named(node, e).join(self.subjects, ["subject_type", "subject_id"]).select(*KEY))
             if stars and self.wildcards:
                 single = self.subjects.where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
-                out.append(self._everyone(node, e).join(single, "subject_type").select(*KEY))
+                out.append(self._for_all(self._everyone(node, e), single))
         return out
 
+    def _for_all(self, granted: DataFrame, single: DataFrame) -> DataFrame:
+        """Wildcard grants multiplied by the subjects asked about, as a list for all of them wants; subjects are dealt, so that no task gets all pairs of a type."""
+        if self._deals is None:
+            self._deals = max(1, -(-single.count() // _DEAL))
+        if self._deals == 1:
+            return granted.join(single, "subject_type").select(*KEY)
+        each = granted.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(self._deals - 1))))
+        own = single.withColumn("deal", F.pmod(F.xxhash64("subject_id"), F.lit(self._deals)).cast("int"))
+        return each.join(own, ["subject_type", "deal"]).select(*KEY)
+
     def _via_userset(self, node: Node, ref, held: DataFrame) -> DataFrame:
         grants = self._rows(node, node[1], ref.type).where(subject_relation("subject_id") == ref.relation)
         grants = self._edge((node, ref), grants.select(subject_object("subject_id").alias("via"), "object_id").distinct())
@@ -240,7 +258,7 @@ class Forward:
             if not delta:
                 break
             if depth >= self.max_depth:
-                self.truncated = True
+                self.truncated |= inside
                 break
             new = {}
             for n in group:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgrove.operators.backward import Backward, listed
-from relgrove.operators.common import union_of
+from relgrove.operators.common import checkpointed, union_of
 from relgrove.operators.forward import Forward, ResolutionTooDeep
 from relgrove.operators.paging import page
 from relgrove.plans.analysis import MAX_DEPTH, Analysis
@@ -43,32 +43,56 @@ class Engine:
         frames = [forward.value(t, r).select("subject_type", "subject_id", F.lit(r).alias("relation"), F.lit(t).alias("object_type"), "object_id") for t, r in pairs if self.analysis.model.expr(t, r) is not None]
         if not frames:
             return subjects.select("subject_type", "subject_id", F.lit("").alias("relation"), F.lit("").alias("object_type"), F.lit("").alias("object_id")).where("false"), False
-        return union_of(frames), forward.truncated
-
-    def check_bulk(self, requests: DataFrame, contextual=None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+        return union_of(frames), bool(forward.truncated)
+
+    def _demand(self, asked: dict[tuple[str, str], DataFrame], tuples: DataFrame) -> tuple[dict | None, set]:
+        """The objects of each recursive relation on which the requests depend, and where these were cut off. Other relations are tested row by row."""
+        recursive = {n for g in self.analysis.needed(list(asked)) if self.analysis.recursive(g) for n in g}
+        if not recursive:
+            return None, set()
+        down = Backward(self.analysis, tuples, "", "", self.max_depth)
+        objects = down.demands(asked)
+        return {n: checkpointed(objects[n]) if n in objects else None for n in recursive}, down.cut
+
+    def check_bulk(self, requests: DataFrame, contextual=None, pairs: list[tuple[str, str]] | None = None, errors: bool = False) -> DataFrame:
         """(idx, allowed): 1 or 0 for each row of requests (idx and the five columns); what the model doesn't know is 0.
 
         pairs: the (object type, relation) pairs that occur, if the caller knows
-        them; else they are read from the requests first.
+        them; else they are read from the requests first. A request that is
+        still open where recursion was cut off raises ResolutionTooDeep; with
+        ``errors`` it has that code in a column ``error`` instead, and the
+        others are answered. Requests on other relations are not concerned.
         """
         known = self.analysis.model.nodes()
         if pairs is None:
             names = requests.select("object_type", "relation").distinct()
             names = names.where(F.concat_ws("\x1f", "object_type", "relation").isin([f"{t}\x1f{r}" for t, r in known]))
             pairs = sorted((x[0], x[1]) for x in names.collect())  # no more than the model has relations
-        forward = Forward(self.analysis, self._facts(contextual), requests.select("subject_type", "subject_id").dropna(), True, self.max_depth)
-        held = []
-        for t, r in pairs:
-            if self.analysis.model.expr(t, r) is not None:
-                asked = requests.where((F.col("object_type") == t) & (F.col("relation") == r)).dropna(subset=REQUEST)
-                held.append(forward.holding(t, r, asked).select("subject_type", "subject_id", F.lit(r).alias("relation"), F.lit(t).alias("object_type"), "object_id"))
-        if not held:
-            return requests.select("idx", F.lit(0).alias("allowed"))
-        granted, truncated = union_of(held), forward.truncated
-        out = requests.select("idx", *REQUEST).join(granted.withColumn("held", F.lit(1)), REQUEST, "left").select("idx", F.coalesce("held", F.lit(0)).cast("int").alias("allowed"))
-        if truncated and not out.where("allowed = 0").isEmpty():
+        tuples = self._facts(contextual)
+        asked = {(t, r): requests.where((F.col("object_type") == t) & (F.col("relation") == r)).dropna(subset=REQUEST) for t, r in pairs if self.analysis.model.expr(t, r) is not None}
+        none = [F.lit(None).cast("int").alias("error")] * errors
+        if not asked:
+            return requests.select("idx", F.lit(0).alias("allowed"), *none)
+        demand, cut = self._demand(asked, tuples)
+        forward = Forward(self.analysis, tuples, requests.select("subject_type", "subject_id").dropna(), True, self.max_depth, demand)
+        held = [forward.holding(t, r, rows).select("subject_type", "subject_id", F.lit(r).alias("relation"), F.lit(t).alias("object_type"), "object_id") for (t, r), rows in asked.items()]
+        out = requests.select("idx", *REQUEST).join(union_of(held).withColumn("held", F.lit(1)), REQUEST, "left").withColumn("allowed", F.coalesce("held", F.lit(0)).cast("int"))
+        cut |= forward.truncated
+        if not cut:
+            return out.select("idx", "allowed", *none)
+        open_ = F.lit(False)
+        for t, r in asked:
+            of = (F.col("object_type") == t) & (F.col("relation") == r)
+            if cut & self.analysis.subtracted((t, r)):
+                open_ |= of  # what was cut off may also take away
+            elif any(cut & set(g) for g in self.analysis.needed([(t, r)])):
+                open_ |= of & (F.col("allowed") == 0)
+        out = out.withColumn("open", F.coalesce(open_, F.lit(False)))
+        if errors:
+            return out.select("idx", F.when(F.col("open"), 0).otherwise(F.col("allowed")).alias("allowed"), F.when(F.col("open"), ResolutionTooDeep.code).alias("error"))
+        if not out.where("open").isEmpty():
             raise ResolutionTooDeep(f"no answer within {self.max_depth} steps")
-        return out
+        return out.select("idx", "allowed")
 
     def check(self, subject_type: str, subject_id: str, relation: str, object_type: str, object_id: str, contextual=None) -> int:
         """1 or 0 for one request."""

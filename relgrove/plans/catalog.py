@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgrove.doctor import signatures
-from relgrove.operators.trees import expand_links, expand_users
-from relgrove.operators.verbs import Engine
+from relgrove.operators.common import shared_folder
+from relgrove.operators.trees import Trees, expand_links, expand_rows, expand_users
+from relgrove.operators.verbs import REQUEST, Engine
 from relgrove.plans.analysis import Analysis, validate
 from relgrove.plans.dsl import parse
-from relgrove.sources.tuples import COLUMNS, Mapping, tuples_of
+from relgrove.sources.tuples import COLUMNS, Mapping, read_store, tuples_of, write_store
 
 SCHEMA = """
 model
@@ -48,6 +49,11 @@ type folder
     define shared: [group#member]
     define viewer: [user, group#member] or viewer from parent
     define visitor: [group#live]
+    define approved: viewer and viewer from parent
+
+type club
+  relations
+    define guest: [user]
 
 type order
   relations
@@ -102,6 +108,7 @@ tuples AS (
  UNION ALL SELECT 'user', 'c' || c_custkey, 'banned', 'group', 'g' || (c_custkey % 32) FROM customer WHERE c_acctbal < -500
  UNION ALL SELECT 'group', 'g' || i || '#live', 'live', 'group', 'g' || (i // 8 * 8 + (i + 1) % 8) FROM (SELECT unnest(generate_series(0, 63)) AS i)
  UNION ALL SELECT 'group', 'g' || s_suppkey % 64 || '#live', 'visitor', 'folder', 'p' || s_suppkey FROM supplier
+ UNION ALL SELECT 'user', 'c' || c_custkey, 'guest', 'club', 'k' || (c_custkey % 3) FROM customer
 )"""
 
 
@@ -147,12 +154,27 @@ def tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
             Mapping(t["customer"], "user", ident("c", "c_custkey"), "banned", "group", ident("g", F.col("c_custkey") % 32), F.col("c_acctbal") < -500),
             Mapping(numbers(0, 64), "group", F.concat(ident("g", "i"), F.lit("#live")), "live", "group", ident("g", F.expr("i div 8 * 8 + (i + 1) % 8"))),
             Mapping(t["supplier"], "group", F.concat(group, F.lit("#live")), "visitor", "folder", ident("p", "s_suppkey")),
+            Mapping(t["customer"], "user", ident("c", "c_custkey"), "guest", "club", ident("k", F.col("c_custkey") % 3)),
         ]
     )
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(analysis(), tuples(spark, sf_dir), max_depth=100)
+#: Where the tuples of a folder of tables are stored, by application and folder.
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's tuples, derived from the tables by the application's first query and stored for the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = f"{shared_folder(spark)}/tuples-{uuid.uuid4().hex}"
+        write_store(tuples(spark, sf_dir), path)
+        _STORES[key] = path
+    return read_store(spark, _STORES[key])
+
+
+def engine(spark: SparkSession, sf_dir: str, max_depth: int = 100) -> Engine:
+    return Engine(analysis(), stored(spark, sf_dir), max_depth=max_depth)
 
 
 def _users(e: Engine) -> DataFrame:
@@ -317,13 +339,228 @@ _register(
 _register("doctor_signatures", lambda e, *_: signatures(e.tuples), _sql("SELECT object_type, relation, subject_type, CASE WHEN contains(subject_id, '#') THEN string_split(subject_id, '#')[2] ELSE '' END AS subject_relation, subject_id = '*' AS wildcard, count(*) AS n FROM tuples GROUP BY ALL"))
 
 
-def _tree(e: Engine, spark: SparkSession, kind: str) -> DataFrame:
-    from relgrove.operators.trees import Trees
+_subjects("intersection_subjects", "own_active", f"{OWNER} INTERSECT {ACTIVE}")
+_subjects("intersection_ttu_subjects", "owner_auditor", f"{OWNER} INTERSECT {AUDITOR}")
+_subjects(
+    "intersection_userset_filter",
+    "approved",
+    "SELECT s, o FROM fv INTERSECT SELECT fv.s, t.object_id FROM fv JOIN tuples t ON t.object_type = 'folder' AND t.relation = 'parent' AND t.subject_id = fv.o",
+    "folder",
+    "group#member",
+    GROUPS_OF,
+)
+_register(
+    "no_wildcard_objects",
+    lambda e, *_: e.grants(_users(e), [("order", "visible")], wildcards=False)[0].select("subject_id", "object_id"),
+    _sql("SELECT DISTINCT subject_id, object_id FROM tuples WHERE object_type = 'order' AND relation IN ('visible', 'owner') AND subject_type = 'user' AND subject_id <> '*'"),
+)
+_register(
+    "scan_by_pattern",
+    lambda e, *_: e.tuples.where(F.col("object_id").like("o1_") & ~F.col("subject_id").like("c%9")).select(*COLUMNS).distinct(),
+    _sql("SELECT DISTINCT * FROM tuples WHERE object_id LIKE 'o1_' AND subject_id NOT LIKE 'c%9'"),
+)
+_register(
+    "expand_users_unbounded",
+    lambda e, *_: expand_users(e.tuples, "club", "guest"),
+    _sql("SELECT object_id, list(subject_type || ':' || subject_id ORDER BY subject_type, subject_id) AS users, false AS users_truncated FROM (SELECT DISTINCT * FROM tuples WHERE object_type = 'club' AND relation = 'guest') GROUP BY object_id"),
+)
+_register(
+    "expand_users_capped",
+    lambda e, *_: expand_users(e.tuples, "club", "guest", 7),
+    _sql("SELECT object_id, list(subject_type || ':' || subject_id ORDER BY subject_type, subject_id)[1:7] AS users, count(*) > 7 AS users_truncated FROM (SELECT DISTINCT * FROM tuples WHERE object_type = 'club' AND relation = 'guest') GROUP BY object_id"),
+)
+
+
+def _extra(rows: list[tuple[str, str, str, str, str]]) -> str:
+    """SQL that adds tuples to those of the tables."""
+    return "".join(f"\n UNION ALL SELECT {', '.join(repr(c) for c in r)}" for r in rows) + "\n)"
+
+
+_MORE = [("user", "c7", "owner", "order", "o7"), ("user", "x1", "active", "order", "o7"), ("user", "x1", "blocked", "order", "o9"), ("user", "x1", "active", "order", "o9"), ("user", "*", "frozen", "order", "o7")]
+_register(
+    "contextual_objects",
+    lambda e, spark, _: e.objects_of(_named(spark, "c7", "x1"), "readable", "order", _MORE).select("subject_id", "object_id"),
+    _sql(f"SELECT DISTINCT s AS subject_id, o AS object_id FROM (({SAFE}) UNION ({UNBLOCKED})) v WHERE s IN ('c7', 'x1')").replace("\n)", _extra(_MORE), 1),
+)
+_register(
+    "contextual_subjects",
+    lambda e, spark, _: e.subjects_of("order", "readable", "user", spark.createDataFrame([("o7",), ("o9",)], "object_id string"), _MORE).select("object_id", "subject_id"),
+    _sql(f"SELECT DISTINCT o AS object_id, s AS subject_id FROM (({SAFE}) UNION ({UNBLOCKED})) v WHERE o IN ('o7', 'o9')").replace("\n)", _extra(_MORE), 1),
+)
+
+
+def _named(spark: SparkSession, *users: str) -> DataFrame:
+    return spark.createDataFrame([("user", u) for u in users], "subject_type string, subject_id string")
+
+
+#: A chain of folders over the tables' own: z0 in z1 in z2 and so on, which the last one's viewer reaches by as many steps.
+_CHAIN = [("folder", f"z{k}", "parent", "folder", f"z{k + 1}") for k in range(40)] + [("user", "deep", "viewer", "folder", "z0")]
+
+
+def _deep(e: Engine, spark: SparkSession, _: str) -> DataFrame:
+    """Checks by recursion of up to 40 steps where 25 are allowed, beside others."""
+    asked = [(k, "user", "deep", "viewer", "folder", f"z{k}") for k in range(41)] + [(50, "user", "deep", "owner", "order", "o7"), (51, "user", "other", "nope", "order", "o7")]
+    return Engine(e.analysis, e.tuples).check_bulk(spark.createDataFrame(asked, "idx int, " + ", ".join(f"{c} string" for c in REQUEST)), _CHAIN, errors=True)
+
+
+_register(
+    "check_depth_25",
+    _deep,
+    _sql(
+        "SELECT CAST(k AS INTEGER) AS idx, CAST(CASE WHEN k IN (SELECT d FROM chain) THEN 1 ELSE 0 END AS INTEGER) AS allowed, CAST(CASE WHEN k < 41 AND k NOT IN (SELECT d FROM chain) THEN 2002 END AS INTEGER) AS error FROM (SELECT unnest(generate_series(0, 40) || [50, 51]) AS k)",
+        "chain AS (SELECT object_id AS o, 0 AS d FROM tuples WHERE relation = 'viewer' AND object_type = 'folder' AND subject_id = 'deep' UNION ALL SELECT t.object_id, c.d + 1 FROM chain c JOIN tuples t ON t.relation = 'parent' AND t.subject_type = 'folder' AND t.subject_id = c.o WHERE c.d + 1 < 25)",
+    ).replace("\n)", _extra(_CHAIN), 1),
+)
+
+
+def _single(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single checks, one after the other: the owners of two orders, and somebody else."""
+    asked = [(f"c{r[1]}", f"o{r[0]}") for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(2).collect()]
+    rows = [(s, o, e.check("user", s, "readable", "order", o)) for s, o in [*asked, ("nobody", asked[0][1])]]
+    return spark.createDataFrame(rows, "subject_id string, object_id string, allowed int")
+
+
+_FIRST = "f AS (SELECT 'c' || o_custkey AS s, 'o' || o_orderkey AS o FROM orders ORDER BY o_orderkey LIMIT 2)"
+_register(
+    "check_single",
+    _single,
+    _sql(
+        "SELECT q.s AS subject_id, q.o AS object_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.s = q.s AND r.o = q.o) THEN 1 ELSE 0 END AS INTEGER) AS allowed FROM q",
+        f"r AS (({SAFE}) UNION ({UNBLOCKED})), {_FIRST}, q AS (SELECT * FROM f UNION ALL SELECT 'nobody', 'o' || min(o_orderkey) FROM orders)",
+    ),
+)
+
+# -- trees, as rows ------------------------------------------------------------
+
+
+def _entries(name: str, kind: str, relation: str, sql: str) -> None:
+    """Registers expand for all objects of a type at once; ``sql`` gives (object_id, leaf, kind, value)."""
+    _register(
+        name,
+        lambda e, *_: expand_rows(e.tuples, e.analysis, kind, relation).select("object_id", "leaf", "kind", "value"),
+        _sql(f"SELECT DISTINCT object_id, CAST(leaf AS INTEGER) AS leaf, kind, value FROM ({sql}) v"),
+    )
+
+
+def _pointer(leaf: int, kind: str, relation: str) -> str:
+    return f"SELECT object_id, {leaf} AS leaf, 'computed' AS kind, '{kind}:' || object_id || '#{relation}' AS value FROM tuples WHERE object_type = '{kind}'"
+
+
+def _own(leaf: int, kind: str, relation: str) -> str:
+    return f"SELECT object_id, {leaf}, 'user', subject_type || ':' || subject_id FROM tuples WHERE object_type = '{kind}' AND relation = '{relation}'"
+
+
+_entries("expand_computed", "order", "grouped", " UNION ALL ".join(_pointer(k, "order", r) for k, r in enumerate(("owner", "active", "seen", "blocked", "frozen"))))
+_entries("expand_union", "order", "visible", f"{_pointer(1, 'order', 'public')} UNION ALL {_pointer(2, 'order', 'owner')} UNION ALL {_own(0, 'order', 'visible')}")
+_entries("expand_difference", "group", "live", f"{_pointer(1, 'group', 'banned')} UNION ALL {_own(0, 'group', 'live')}")
+_entries(
+    "expand_ttu",
+    "folder",
+    "viewer",
+    f"{_own(0, 'folder', 'viewer')} UNION ALL SELECT object_id, 1, 'link', subject_type || ':' || subject_id || '#viewer' FROM tuples WHERE object_type = 'folder' AND relation = 'parent'".replace("SELECT object_id, 0, 'user',", "SELECT object_id, 0 AS leaf, 'user' AS kind,", 1).replace("subject_id FROM", "subject_id AS value FROM", 1),
+)
+
+
+def _flat(node: dict, path: str = "0") -> list[tuple[str, str, str | None]]:
+    """(path, kind, text) of an expanded tree's nodes."""
+    if "leaf" in node:
+        (kind, leaf), *_ = node["leaf"].items()
+        values = leaf["users"] if kind == "users" else [leaf["userset"]] if kind == "computed" else [leaf["tupleset"], *(c["userset"] for c in leaf["computed"])]
+        return [(path, kind, v) for v in values] or [(path, kind, None)]
+    kind = next(k for k in ("union", "intersection", "difference") if k in node)
+    below = node[kind].get("nodes") or [node[kind]["base"], node[kind]["subtract"]]
+    return [(path, kind, node["name"])] + [x for k, n in enumerate(below) for x in _flat(n, f"{path}.{k}")]
+
 
+def _expand(e: Engine, spark: SparkSession, _: str) -> DataFrame:
     trees = Trees(e.analysis, e.tuples)
-    made = trees.explain("user", "c7", "readable", "order", "o7") if kind == "explain" else trees.expand("order", "o7", "grouped")
-    return spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "tree string")
+    rows = [(f"{t}:{o}#{r}", *x) for t, o, r in (("order", "o7", "grouped"), ("folder", "p5", "viewer"), ("order", "o7", "auditor"), ("group", "g3", "live"), ("order", "o7", "nope")) for x in _flat(trees.expand(t, o, r)["root"])]
+    return spark.createDataFrame(rows, "tree string, path string, kind string, text string")
+
+
+def _users_or_none(tree: str, path: str, where: str) -> str:
+    own = f"SELECT DISTINCT subject_type || ':' || subject_id AS u FROM tuples WHERE {where}"
+    return f"SELECT '{tree}' AS tree, '{path}' AS path, 'users' AS kind, u AS text FROM (SELECT 1) one LEFT JOIN ({own}) own ON true"
+
+
+def _fixed(tree: str, *rows: tuple[str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{tree}' AS tree, '{path}' AS path, '{kind}' AS kind, '{tree if text == '' else text}' AS text" for path, kind, text in rows)
 
 
-_register("explain", lambda e, spark, _: _tree(e, spark, "explain"), None)
-_register("expand", lambda e, spark, _: _tree(e, spark, "expand"), None)
+_register(
+    "expand",
+    _expand,
+    _sql(
+        " UNION ALL ".join(
+            [
+                _fixed("order:o7#grouped", ("0", "intersection", ""), ("0.0", "union", ""), ("0.0.0", "computed", "order:o7#owner"), ("0.0.1", "computed", "order:o7#active"), ("0.1", "union", ""), ("0.1.0", "computed", "order:o7#seen"), ("0.1.1", "difference", ""), ("0.1.1.0", "computed", "order:o7#blocked"), ("0.1.1.1", "computed", "order:o7#frozen")),
+                _fixed("folder:p5#viewer", ("0", "union", ""), ("0.1", "tuple_to_userset", "folder:p5#parent")),
+                _users_or_none("folder:p5#viewer", "0.0", "object_type = 'folder' AND object_id = 'p5' AND relation = 'viewer'"),
+                "SELECT DISTINCT 'folder:p5#viewer', '0.1', 'tuple_to_userset', 'folder:' || subject_id || '#viewer' FROM tuples WHERE object_type = 'folder' AND object_id = 'p5' AND relation = 'parent'",
+                _fixed("order:o7#auditor", ("0", "tuple_to_userset", "order:o7#org")),
+                "SELECT DISTINCT 'order:o7#auditor', '0', 'tuple_to_userset', 'org:' || subject_id || '#auditor' FROM tuples WHERE object_type = 'order' AND object_id = 'o7' AND relation = 'org'",
+                _fixed("group:g3#live", ("0", "difference", ""), ("0.1", "computed", "group:g3#banned")),
+                _users_or_none("group:g3#live", "0.0", "object_type = 'group' AND object_id = 'g3' AND relation = 'live'"),
+                "SELECT 'order:o7#nope', '0', 'users', NULL",
+            ]
+        )
+    ),
+)
+
+
+def _reached(e: Engine, spark: SparkSession, _: str) -> DataFrame:
+    asked = spark.createDataFrame([("folder", "p300", "viewer"), ("order", "o7", "visible")], "object_type string, object_id string, relation string")
+    return Trees(e.analysis, e.tuples).reached_users(asked, [("folder", "viewer"), ("order", "visible")])
+
+
+_register(
+    "expand_recursive",
+    _reached,
+    _sql(
+        "SELECT DISTINCT subject_type || ':' || subject_id AS user FROM tuples t JOIN up ON t.object_id = up.o WHERE object_type = 'folder' AND relation = 'viewer' UNION SELECT subject_type || ':' || subject_id FROM tuples WHERE object_type = 'order' AND object_id = 'o7' AND relation IN ('visible', 'public', 'owner')",
+        "up AS (SELECT 'p300' AS o UNION SELECT t.subject_id FROM up JOIN tuples t ON t.object_type = 'folder' AND t.relation = 'parent' AND t.object_id = up.o)",
+    ),
+)
+
+
+def _nodes(node: dict, path: str = "0") -> list[tuple]:
+    proof = [f"{x['subject_type']}:{x['subject_id']} {x['relation']} {x['object_type']}:{x['object_id']}" for x in node.get("evidence", [])]
+    return [(path, node["type"], node["label"], node.get("result"), proof[0] if proof else None)] + [x for k, c in enumerate(node.get("children", [])) for x in _nodes(c, f"{path}.{k}")]
+
+
+def _traces(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of traces of ``can_read``: of the first orders' owners, of the first purchases' users, and of nobody."""
+    orders, events = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "events"))
+    asked = [(f"c{r[0]}", f"o{r[1]}") for r in orders.orderBy("o_orderkey").limit(2).select("o_custkey", "o_orderkey").collect()]
+    n = orders.count()
+    asked += [(f"c{r[0]}", f"o{r[1] % n}") for r in events.where("event_type = 'purchase'").orderBy("event_id").limit(2).select("user_id", "event_id").collect()]
+    trees = Trees(e.analysis, e.tuples)
+    rows = []
+    for s, o in [*asked, ("nobody", "o7")]:
+        made = trees.explain("user", s, "can_read", "order", o)
+        rows += [(s, o, made["result"], made["node_count"], *x) for x in _nodes(made["root"])]
+    return spark.createDataFrame(rows, "subject_id string, object_id string, allowed boolean, node_count int, path string, type string, label string, result boolean, evidence string")
+
+
+def _held_by(relation: str, number: int) -> str:
+    """The trace where a relation holds, as the ``number``-th that was tried."""
+    return (
+        f"SELECT s, o, true AS allowed, {2 * number} AS node_count, '0' AS path, 'implied' AS type, 'order:' || o || '#can_read from {relation}' AS label, true AS result, CAST(NULL AS VARCHAR) AS evidence FROM h WHERE h.{relation}{' AND NOT h.owner' * (number - 1)}"
+        f" UNION ALL SELECT s, o, true, {2 * number}, '0.0', 'direct', 'order:' || o || '#{relation}', true, 'user:' || s || ' {relation} order:' || o FROM h WHERE h.{relation}{' AND NOT h.owner' * (number - 1)}"
+    )
+
+
+def _denied() -> str:
+    rows = [("0", "union", "#can_read")] + [x for k, r in enumerate(("owner", "active")) for x in ((f"0.{k}", "implied", f"#can_read from {r}"), (f"0.{k}.0", "direct", f"#{r}"))]
+    return " UNION ALL ".join(f"SELECT s, o, false, 5, '{p}', '{t}', 'order:' || o || '{label}', false, NULL FROM h WHERE NOT h.owner AND NOT h.active" for p, t, label in rows)
+
+
+_register(
+    "explain",
+    _traces,
+    _sql(
+        f"SELECT s AS subject_id, o AS object_id, allowed, CAST(node_count AS INTEGER) AS node_count, path, type, label, result, evidence FROM ({_held_by('owner', 1)} UNION ALL {_held_by('active', 2)} UNION ALL {_denied()}) v",
+        f"{_FIRST}, p AS (SELECT 'c' || user_id AS s, 'o' || event_id % n.n AS o FROM events, n WHERE event_type = 'purchase' ORDER BY event_id LIMIT 2), q AS (SELECT * FROM f UNION ALL SELECT * FROM p UNION ALL SELECT 'nobody', 'o7'), "
+        "h AS (SELECT s, o, EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'order' AND t.object_id = q.o AND t.relation = 'owner' AND t.subject_type = 'user' AND t.subject_id = q.s) AS owner, EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'order' AND t.object_id = q.o AND t.relation = 'active' AND t.subject_type = 'user' AND t.subject_id = q.s) AS active FROM q)",
+    ),
+)

@@ -77,6 +77,17 @@ def read(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     return spark.read.format(format).load(path).select(*(F.col(c).cast("string").alias(c) for c in COLUMNS)).dropna()
 
 
+def write_store(tuples: DataFrame, path: str) -> None:
+    """Writes the tuples in folders by object type and sorted by relation and id, so that readers skip what they don't ask for."""
+    keys = ("object_type", "relation", "object_id")
+    tuples.select(*COLUMNS).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("object_type").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The tuples of a store that ``write_store`` wrote."""
+    return spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS)
+
+
 def layouts(tuples: DataFrame, path: str) -> None:
     """Writes ``by_object`` and ``by_subject``, partitioned by type and sorted by relation and id."""
     for name, kind, keys in (("by_object", "object_type", ("relation", "object_id")), ("by_subject", "subject_type", ("relation", "subject_id"))):

@@ -169,7 +169,7 @@ def test_expand(spark):
     e = engine_of(spark, "user:b viewer doc:1", "user:a viewer doc:1", "group:g#member viewer doc:1", "user:c member group:g")
     t = Trees(e.analysis, e.tuples)
     tree = t.expand("doc", "1", "viewer", max_leaf=2)
-    assert tree["root"]["leaf"] == {"users": {"users": ["group:g#member", "user:a"]}, "users_truncated": True}
+    assert tree["root"]["leaf"] == {"users": {"users": ["group:g#member", "user:a"], "users_truncated": True}}
     assert t.expand("doc", "1", "nope")["root"]["leaf"] == {"users": {"users": []}}
     assert t.expand_recursive("doc", "1", "viewer") == ["group:g#member", "user:a", "user:b"]
     trace = t.explain("user", "c", "viewer", "doc", "1")
@@ -177,6 +177,41 @@ def test_expand(spark):
     assert t.explain("user", "c", "viewer", "doc", "1", max_nodes=1)["truncated"]
 
 
+def test_expand_has_no_cap_of_its_own(spark):
+    e = engine_of(spark, *(f"user:u{k} viewer doc:1" for k in range(150)))
+    t = Trees(e.analysis, e.tuples)
+    users = t.expand("doc", "1", "viewer")["root"]["leaf"]["users"]
+    assert len(users["users"]) == 150 and "users_truncated" not in users
+    spark.conf.set("spark.relgrove.expand.leaf", "20")
+    try:
+        users = t.expand("doc", "1", "viewer")["root"]["leaf"]["users"]
+        assert len(users["users"]) == 20 and users["users_truncated"] and "truncated" not in t.explain("user", "u1", "viewer", "doc", "1")
+    finally:
+        spark.conf.unset("spark.relgrove.expand.leaf")
+
+
+def test_trees_of_links_and_large_objects(spark):
+    schema = "model\n  schema 1.1\ntype user\ntype group\n  relations\n    define member: [user, group#member]\ntype doc\n  relations\n    define parent: [doc]\n    define viewer: [user, group#member] or viewer from parent\n"
+    e = engine_of(spark, "doc:p parent doc:1", "doc:q parent doc:1", "user:a viewer doc:q", *(f"group:g{k}#member viewer doc:p" for k in range(300)), "user:z member group:g299", schema=schema)
+    t = Trees(e.analysis, e.tuples)
+    link = t.expand("doc", "1", "viewer")["root"]["union"]["nodes"][1]["leaf"]
+    assert link == {"tuple_to_userset": {"tupleset": "doc:1#parent", "computed": [{"userset": "doc:p#viewer"}, {"userset": "doc:q#viewer"}]}}
+    assert len(t.expand_recursive("doc", "1", "viewer")) == 301
+    found = t.explain("user", "a", "viewer", "doc", "1", max_nodes=5000)
+    assert found["result"]
+    assert t.explain("user", "z", "viewer", "doc", "1")["truncated"]  # a hundred nodes don't reach the last group
+    assert t.explain("user", "z", "viewer", "doc", "1", max_nodes=5000)["result"]
+    assert t.check("user", "z", "viewer", "doc", "1") == 1
+
+
+def test_depth_concerns_recursive_relations_only(spark):
+    chain = [f"group:g{k}#member member group:g{k + 1}" for k in range(8)]
+    e = engine_of(spark, *chain, "user:a member group:g0", max_depth=5)
+    rows = [(1, "user", "a", "member", "group", "g2"), (2, "user", "b", "banned", "doc", "1")]
+    asked = spark.createDataFrame(rows, "idx int, subject_type string, subject_id string, relation string, object_type string, object_id string")
+    assert sorted(map(tuple, e.check_bulk(asked).collect())) == [(1, 1), (2, 0)]
+
+
 def test_plan_text_and_wildcards_off(spark):
     e = engine_of(spark, "user:* viewer doc:1", "user:a viewer doc:2")
     one = spark.createDataFrame([("user", "a")], "subject_type string, subject_id string")

@@ -6,6 +6,7 @@ from relgrove import codegen, doctor
 from relgrove.__main__ import main
 from relgrove.checker import ALLOW, DENY, Cache, Checker, Denied, InvalidRequest, Object, Page, UnknownType
 from relgrove.functions.sql import bulk_from_arrays, register
+from relgrove.operators.forward import ResolutionTooDeep
 from relgrove.plans.dsl import parse
 from relgrove.registry import Registry, difference
 from relgrove.sources.tuples import COLUMNS, Mapping, layouts, read, tuples_of
@@ -56,6 +57,28 @@ def test_bulk(spark):
         c.bulk().add("user:a", "viewer", "doc:1", "k").add("user:a", "viewer", "doc:2", "k")
 
 
+def test_bulk_errors_are_those_of_their_requests(spark):
+    chain = [f"group:g{k}#member member group:g{k + 1}" for k in range(8)]
+    e = engine_of(spark, *chain, "user:a member group:g0", "user:a viewer doc:1", "user:a odd doc:1", "user:a banned doc:2", max_depth=4)
+    c = Checker(e, cache=Cache())
+    bulk = c.bulk().add("user:a", "member", "group:g8", "deep").add("user:a", "member", "group:g2", "near").add("user:b", "banned", "doc:1", "plain").add("user:a", "odd", "doc:1", "path").add("group:#x", "viewer", "doc:1", "shape")
+    got = bulk.execute()
+    assert [r.allowed for r in got.items] == [False, True, False, True, False]
+    assert [r.id for r in got.errors()] == ["deep", "shape"] and isinstance(got.get("deep").error, ResolutionTooDeep)
+    assert len(c.cache) == 3  # errors are not kept
+    with pytest.raises(ResolutionTooDeep):
+        got.all_or_error()
+
+
+def test_bulk_contextual(spark):
+    c = Checker(engine_of(spark, "user:a member group:g"), cache=Cache())
+    ask = lambda: c.bulk().add("user:a", "viewer", "doc:1").add("user:b", "viewer", "doc:1")
+    assert [r.allowed for r in ask().with_contextual(("group", "g#member", "viewer", "doc", "1")).execute().items] == [True, False]
+    assert len(c.cache) == 0 and not ask().execute().any()
+    with pytest.raises(InvalidRequest):
+        ask().with_contextual(("robot", "x", "viewer", "doc", "1")).execute()
+
+
 def test_unstratified_checks_by_path(spark):
     c = Checker(engine_of(spark, "user:a odd doc:1", "user:a odd doc:2", "doc:1 parent doc:2"))
     assert c.check("user:a", "odd", "doc:1") and not c.check("user:a", "odd", "doc:2")
