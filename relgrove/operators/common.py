@@ -24,13 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return (configured or _own_folder()).rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path for a new table in the shared folder, which Hadoop deletes when the driver ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read again, so that plans stay short and lost executors cost no more than a read.
 
     A table, not a checkpoint: a checkpoint keeps constraints of the plan that
     made it, which may name columns that it doesn't have and break unions of it.
     """
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

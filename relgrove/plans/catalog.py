@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgrove.doctor import signatures
-from relgrove.operators.common import shared_folder
+from relgrove.operators.common import new_folder
 from relgrove.operators.trees import Trees, expand_links, expand_rows, expand_users
 from relgrove.operators.verbs import REQUEST, Engine
 from relgrove.plans.analysis import Analysis, validate
@@ -167,7 +166,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's tuples, derived from the tables by the application's first query and stored for the others."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        path = f"{shared_folder(spark)}/tuples-{uuid.uuid4().hex}"
+        path = new_folder(spark, "tuples")
         write_store(tuples(spark, sf_dir), path)
         _STORES[key] = path
     return read_store(spark, _STORES[key])
