@@ -25,11 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A path for a new table in the shared folder, which Hadoop deletes when the driver ends."""
-    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
+    """A path for new tables in the shared folder, which Hadoop deletes with all below it when the driver ends."""
+    parent = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop_path)  # only what is there can be marked
+    files.deleteOnExit(hadoop_path)
+    return f"{parent}/table"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
