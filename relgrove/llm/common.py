@@ -36,6 +36,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, which Hadoop deletes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # only what is there can be marked
+    files.deleteOnExit(folder)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, deleted on leaving; what is read from it must be used up by then."""

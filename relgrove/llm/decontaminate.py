@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling (operator 1).
 
-Texts and benchmark items are lower-cased words. A seed is a run of
+Texts and benchmark items are lower-cased words; in scripts that put no blanks
+between words (Thai, Lao, Khmer, Chinese, Japanese), each character is a word. A seed is a run of
 ``min_match`` words that a document and an item share; its Karp-Rabin hash is
 looked up in an index of the items' seeds. For each item that a document shares
 seeds with, tiles are laid: running Karp-Rabin hashes of shrinking length find
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 
 MIN_MATCH, COVERAGE = 5, 0.5
 BLOCK_WORDS = 500_000
-_WORD = re.compile(r"\w+")
+#: Characters of scripts without blanks between words.
+_ALONE = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
@@ -66,45 +69,66 @@ def _free_runs(marked: list[bool]) -> Iterator[tuple[int, int]]:
             start = k
 
 
+def _same(a: list[int], i: int, b: list[int], j: int, most: int) -> int:
+    """How many of the next ``most`` codes are equal."""
+    n, step = 0, 64
+    while n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n, step = n + step, 2 * step
+        elif step == 1:
+            break
+        else:
+            step = max(1, step // 2)
+            most = min(most, n + 2 * step + 1)
+    return n
+
+
 def _scan(a: list[int], b: list[int], ma: list[bool], mb: list[bool], size: int) -> list[tuple[int, int, int]]:
-    """Common runs (length, in a, in b) of unmarked codes of ``size`` or more, each extended as far as it goes."""
-    index = defaultdict(list)
+    """Common runs (length, in a, in b) of unmarked codes of ``size`` or more, each extended as far as it goes.
+
+    The index holds places by hash and then by the code before (None where a
+    free run begins), so places that only go on with a run that starts before
+    are passed over together.
+    """
+    index: dict[int, dict[int | None, list[tuple[int, int]]]] = {}
     for s, e in _free_runs(ma):
-        for k, h in enumerate(rolling(a[s:e], size)):
-            index[h].append(s + k)
+        for k, h in enumerate(rolling(a[s:e], size), s):
+            index.setdefault(h, {}).setdefault(a[k - 1] if k > s else None, []).append((k, e))
     found = []
     for s, e in _free_runs(mb):
-        for k, h in enumerate(rolling(b[s:e], size)):
-            for i in index.get(h, ()):
-                j = s + k
-                if i and j and a[i - 1] == b[j - 1] and not ma[i - 1] and not mb[j - 1]:
-                    continue  # part of the run that starts before
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ma[i + n] and not mb[j + n]:
-                    n += 1
-                if n >= size:
-                    found.append((n, i, j))
+        for j, h in enumerate(rolling(b[s:e], size), s):
+            for before, places in index.get(h, {}).items():
+                if before is not None and j > s and b[j - 1] == before:
+                    continue
+                for i, end in places:
+                    n = _same(a, i, b, j, min(end - i, e - j))
+                    if n >= size:
+                        found.append((n, i, j))
     return found
 
 
 def tiles(a: list[int], b: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """The tiles (start in a, start in b, length) of greedy string tiling by running Karp-Rabin."""
-    ma, mb, out = [False] * len(a), [False] * len(b), []
+    ma, mb, out, left = [False] * len(a), [False] * len(b), [], len(a)
     size = max(min_match, min(len(a), len(b)))
     while True:
         heap = [(-n, i, j) for n, i, j in _scan(a, b, ma, mb, size)]
         heapify(heap)
-        while heap:
+        while heap and left:
             n, i, j = heappop(heap)
-            free = [not (ma[i + k] or mb[j + k]) for k in range(-n)]
-            if all(free):
+            own, other = ma[i : i - n], mb[j : j - n]
+            if True not in own and True not in other:
                 ma[i : i - n], mb[j : j - n] = [True] * -n, [True] * -n
                 out.append((i, j, -n))
+                left += n
+                continue
+            if False not in own or False not in other:
                 continue
-            for s, e in _free_runs([not f for f in free]):  # what earlier tiles left of it
+            for s, e in _free_runs([x or y for x, y in zip(own, other, strict=True)]):  # what earlier tiles left of it
                 if e - s >= size:
                     heappush(heap, (s - e, i + s, j + s))
-        if size == min_match:
+        if size == min_match or left < min_match:
             return out
         size = max(min_match, size // 2)
 

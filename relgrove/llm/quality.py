@@ -9,7 +9,8 @@ Label, language, source and id are no inputs of a score.
 
 Defined results: null text counts as empty and gets a score like any other.
 Rows without doc_id are not held out and never in the sample. Of repeated
-labels the greatest counts; null labels count as missing. Without labels of
+labels the greatest counts, of rows that share a labelled id the least text is
+fitted on; null labels count as missing. Without labels of
 both classes, each score is the labels' (smoothed) share of 1, 0.5 without any.
 Repeated rows get equal scores. An empty table gives an empty result; extra
 columns are ignored by ``scores``, passed through by ``keep_good``.
@@ -99,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y")).where(~_held_out(F.col("id")))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so it may be broadcast
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.max("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("y", "text")  # one row for each id
 
     def run(batches):
         for b in batches:

@@ -20,40 +20,49 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of licence sentences and rules in each document, in the order of its text; null and empty texts have none."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n", "license", "kind", F.concat_ws(" ", "sentences").alias("sentences"), F.col("start").alias("start_char"), F.col("end").alias("end_char"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; null and empty texts have fingerprint zero, which links like any other."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back; null html is an empty payload, of equal payloads the smallest page_id is the response."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page; null html and pages without any text give an empty one."""
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document by trees fitted on labels that are not held out; null and empty texts have a score, too."""
     docs = table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays for each; null counts as empty, all empty texts are equal, the largest id stays."""
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document in sequences of 2048 tokens; null and empty texts are the end id alone."""
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without the chunks of lines that stand in an earlier one; null counts as an empty line."""
     return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of each document by its id; a null id is placed as the empty key."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 

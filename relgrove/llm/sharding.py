@@ -11,8 +11,8 @@ shard leaves or joins, few other slots change hands.
 Defined results: a null key is placed as the empty key; equal keys, repeated
 rows included, get the same shard; with ``spread`` a hot key is placed by key
 and row instead. An empty table gives an empty result. Columns of the input
-that are called ``slot`` or ``shard`` make ``place`` fail with a ValueError
-that names them, as silently hiding them would lose data.
+pass through, whatever their names: where one is called ``slot`` or ``shard``,
+the new column's name gets an underscore (``slot_``), or more of them.
 """
 
 from __future__ import annotations
@@ -65,17 +65,16 @@ def slot_of(key: Column, table_size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: int | tuple[str, ...] = SHARDS, table_size: int = TABLE_SIZE, spread: str | None = None) -> DataFrame:
-    """``df`` with the columns slot (int) and shard (int, the shard's index).
+    """``df`` with the columns slot (int) and shard (int, the shard's index), under free names if it has such columns.
 
     spread: name of a column by which keys that alone exceed a shard's even
     share are dealt over all shards.
     """
-    if clash := [c for c in df.columns if c.lower() in ("slot", "shard")]:
-        raise ValueError(f"rename these columns of the input first: {clash}")
+    slot, shard = free_name(df, "slot"), free_name(df, "shard")
     names = shard_names(shards) if isinstance(shards, int) else tuple(shards)
-    owners = df.sparkSession.createDataFrame(list(enumerate(lookup_table(names, table_size))), "slot int, shard int")
+    owners = df.sparkSession.createDataFrame(list(enumerate(lookup_table(names, table_size))), f"{slot} int, {shard} int")
     if spread is None:
-        return df.withColumn("slot", slot_of(F.col(key), table_size)).join(F.broadcast(owners), "slot")
+        return df.withColumn(slot, slot_of(F.col(key), table_size)).join(F.broadcast(owners), slot)
     hot, mine = free_name(df, "hot_key"), free_name(df, "own_key")
     counts = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(hot)).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
@@ -83,9 +82,9 @@ def place(df: DataFrame, key: str, shards: int | tuple[str, ...] = SHARDS, table
     hot_keys = [r[0] for r in counts.where(F.col("count") > total / len(names)).collect()]
     keyed = df.withColumn(mine, F.coalesce(F.col(key).cast("string"), F.lit("")))
     keyed = keyed.withColumn(mine, F.when(F.col(mine).isin(hot_keys), F.concat_ws("\x1f", mine, F.col(spread).cast("string"))).otherwise(F.col(mine)))
-    return keyed.withColumn("slot", slot_of(F.col(mine), table_size)).drop(mine).join(F.broadcast(owners), "slot")
+    return keyed.withColumn(slot, slot_of(F.col(mine), table_size)).drop(mine).join(F.broadcast(owners), slot)
 
 
-def write_shards(placed: DataFrame, path: str) -> None:
+def write_shards(placed: DataFrame, path: str, shard: str = "shard") -> None:
     """Writes a folder of Parquet files per shard; no shuffle, as each task keeps a file per shard open."""
-    placed.write.partitionBy("shard").parquet(path)
+    placed.write.partitionBy(shard).parquet(path)

@@ -6,8 +6,9 @@
 2. Equal fingerprints become one row. To find those at ``radius`` bits or
    fewer, the 64 bits are cut into ``blocks`` blocks: two such fingerprints
    agree in at least ``blocks - radius`` of them, so they share a bucket of one
-   of the tables over that many blocks (6 blocks, 15 tables of 21 bits or so;
-   take 7 for over 1e9 distinct fingerprints: 35 tables of 27 bits).
+   of the tables over that many blocks (6 blocks: 15 tables of 21 bits or so).
+   There are as many blocks as keep buckets at some ``BUCKET`` of the distinct
+   fingerprints on average: 7, with 35 tables of 27 bits, for over 1e9 of them.
 3. Buckets over ``chunk`` rows are dealt into chunks, and each pair of chunks
    becomes a bucket of its own, so no task gets an unbounded bucket.
 4. Within a bucket, fingerprints are bit planes that are compared by XOR and
@@ -37,7 +38,8 @@ from relgrove.llm import bitslice
 from relgrove.llm.common import checkpointed, free_name, row_number_of_scan
 from relgrove.llm.components import connected_components
 
-WORDS, SEED, RADIUS, BLOCKS, CHUNK = 4, 42, 4, 6, 4096
+WORDS, SEED, RADIUS, CHUNK = 4, 42, 4, 4096
+LEAST_BLOCKS, MOST_BLOCKS, BUCKET = 6, 10, 512
 #: Shingle hashes whose bits are counted at once; bounds memory (64 bytes each).
 _AT_ONCE = 60_000
 
@@ -151,7 +153,15 @@ def _linked(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Into how many blocks the bits of n distinct fingerprints are cut."""
+    blocks = max(LEAST_BLOCKS, radius + 1)
+    while blocks < MOST_BLOCKS + radius and n > BUCKET << 64 * (blocks - radius) // blocks:
+        blocks += 1
+    return blocks
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = LEAST_BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) that connect just those fingerprints (column fp, each once) that links within the radius connect."""
     if not 0 <= radius <= bitslice.MAX_RADIUS or blocks <= radius:
         raise ValueError("the radius must be from 0 to 6, and there must be more blocks than that")
@@ -164,12 +174,12 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(rid, doc_id, fingerprint, component_id, kept) of each row; kept: the component's first row."""
     thin = checkpointed(fingerprints(docs, doc_id, text))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     distinct = checkpointed(thin.groupBy("fp").agg(first))
-    roots = connected_components(links(distinct.select("fp"), radius, blocks, chunk))
+    roots = connected_components(links(distinct.select("fp"), radius, blocks or blocks_for(distinct.count(), radius), chunk))
     tied = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first")
     heads = distinct.join(roots.select("root").distinct(), distinct.fp == F.col("root")).select("fp", "root", "first")
     every = tied.unionByName(heads)

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgrove.llm.common import checkpointed, row_number_of_scan, shared_dir, text_of
+from relgrove.llm.common import checkpointed, own_folder, row_number_of_scan, text_of
 
 _CRLF = b"\r\n"
 _BLOCK = 1 << 16
@@ -217,7 +216,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return own_folder(spark, "warc")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

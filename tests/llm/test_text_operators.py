@@ -1,10 +1,12 @@
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from relgrove.llm import bitslice, boosting, decontaminate, exact_dedup, extract, licenses, line_dedup, packing, quality, sharding, simhash
 
@@ -129,6 +131,11 @@ def test_simhash(spark, chunk):
     assert simhash.deduplicate(df).columns == df.columns
 
 
+def test_blocks_grow_with_the_corpus():
+    assert [simhash.blocks_for(n) for n in (0, 10**9, 3 * 10**9, 10**11, 10**13)] == [6, 6, 7, 8, 9]
+    assert len(simhash.masks(4, 7)) == 35
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
@@ -249,8 +256,9 @@ def test_placement(spark, tmp_path):
     spread = sharding.place(hot, "text", 8, 1009, spread="doc_id").collect()
     assert max(np.bincount([r["shard"] for r in spread])) < 2 * 900 / 8
     assert sharding.place(docs_of(spark, []), "doc_id").count() == 0
-    with pytest.raises(ValueError):
-        sharding.place(df.withColumnRenamed("text", "Slot"), "doc_id")
+    clash = sharding.place(df.withColumnsRenamed({"text": "Slot"}).withColumn("shard", F.lit(-1)), "doc_id", 8, 1009)
+    assert set(clash.columns) == {"doc_id", "Slot", "shard", "slot_", "shard_"}
+    assert sorted((r["doc_id"] or -1, r["shard_"]) for r in clash.collect()) == sorted((r["doc_id"] or -1, r["shard"]) for r in placed)
     sharding.write_shards(sharding.place(df, "doc_id", 4, 101), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2002
 
@@ -285,6 +293,21 @@ def test_tiles_against_brute_force():
             assert sorted(decontaminate.tiles(a, b, m)) == sorted(brute_tiles(a, b, m)), (a, b, m)
 
 
+def test_tiles_of_repeated_words_take_little_time():
+    start = time.time()
+    assert decontaminate.tiles([1] * 400, [1] * 40_000) == [(0, 0, 400)]
+    assert sum(n for _, _, n in decontaminate.tiles([1] * 400 + [2] * 10, [1] * 20_000)) == 400
+    assert sum(n for _, _, n in decontaminate.tiles([1, 2] * 200 + [3], [1, 2] * 10_000)) == 400
+    assert time.time() - start < 20
+
+
+def test_scripts_without_blanks():
+    item = "月落烏啼霜滿天江楓漁火對愁眠姑蘇城外寒山寺夜半鐘聲到客船"
+    index = decontaminate.Index([(1, item)])
+    assert decontaminate.words_of("Ein 詩 über x1") == ["ein", "詩", "über", "x1"]
+    assert [k for k, _, _ in index.leaks(f"前言不在其中{item[14:]}中間{item[:14]}後記")] == [1] and not index.leaks("前言" + item[:8])
+
+
 def leak_rows(rng):
     item = words(rng, 40)
     w = item.split()
@@ -416,6 +439,8 @@ def test_quality(spark):
     assert all(r["predicted"] == int(r["doc_id"] < 1000) for r in held if r["doc_id"] < 5000)
     kept = quality.keep_good(df, trees)
     assert kept.columns == df.columns and kept.where("doc_id >= 1000 AND doc_id < 2000").count() == 0 and kept.where("doc_id < 1000").count() == 301
+    many = docs_of(spark, [(3, f"text {k}") for k in range(500)] + good[4:80] + bad)
+    assert len(quality.train(many, labels, sample=100).value) > 0  # an id of many rows is one row of the sample
     none = quality.train(df, labels.where("false"))
     assert {round(r["score"], 9) for r in quality.scores(df, none).collect()} == {0.5}
     assert quality.scores(docs_of(spark, []), trees).count() == 0
