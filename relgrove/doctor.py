@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relgrove.functions.userset import is_wildcard, subject_relation
 from relgrove.plans.analysis import MAX_DEPTH, Analysis, CyclicSchema, UnstratifiedSchema
 from relgrove.sources.tuples import COLUMNS, advise
+from relgrove.sources.views import parse_view
 
 OK, WARN, FAIL = "ok", "warn", "fail"
 
@@ -46,8 +47,8 @@ def misfits(analysis: Analysis, found: list) -> list[tuple[str, str, int]]:
     return out
 
 
-def examine(analysis: Analysis | None, tuples: DataFrame | None = None, registry=None, schema_text: str | None = None, schema_error: str | None = None) -> list[Finding]:
-    """All checks that the given parts allow."""
+def examine(analysis: Analysis | None, tuples: DataFrame | None = None, registry=None, schema_text: str | None = None, schema_error: str | None = None, view_sql: str | None = None) -> list[Finding]:
+    """All checks that the given parts allow. view_sql: the SQL that defines the tuples, if they are a view."""
     out: list[Finding] = []
     add = lambda *x: out.append(Finding(*x))
     if analysis is None:
@@ -108,13 +109,31 @@ def examine(analysis: Analysis | None, tuples: DataFrame | None = None, registry
     top = tuples.groupBy("object_type", "object_id", "relation").count().agg(F.max("count")).first()[0] or 0
     add("Performance", "hot objects", WARN if rows > 10_000 and top > rows // 3 else OK, f"{top} tuples of one object and relation")
     add("Performance", "recursion", OK, ", ".join(sorted(f"{t}.{r}" for g in analysis.order if analysis.recursive(g) for t, r in g)))
-    for line in advise(tuples, rows):
+    for line in advise(tuples, rows, analysis):
         add("Performance", "layout", OK, line)
+    if view_sql is not None:
+        out += examine_view(tuples.sparkSession, view_sql)
     stars = sum(x["n"] for x in found if x["wildcard"])
     add("Performance", "wildcards", WARN if rows and stars > rows // 2 else OK, f"{stars} of {rows} rows")
     return out
 
 
+def examine_view(spark, sql: str) -> list[Finding]:
+    """The checks of a view over tuples: does it parse, does it sort for nothing, which tables does it read, do filters reach them?"""
+    try:
+        view = parse_view(spark, sql)
+    except ValueError as e:
+        return [Finding("Performance", "view parsed", FAIL, str(e))]
+    out = [Finding("Performance", "view parsed", OK, f"{len(view.branches)} branches")]
+    missing = view.missing()
+    out.append(Finding("Tuples Source", "view columns", FAIL if missing else OK, ", ".join(missing)))
+    out.append(Finding("Performance", "union all", WARN if view.distinct else OK, "UNION drops repeats by a shuffle of all tuples" if view.distinct else "", "use UNION ALL" if view.distinct else ""))
+    out.append(Finding("Performance", "source tables", OK, ", ".join(view.tables())))
+    casts = [f"{', '.join(b.tables)}.{c.source} as {c.column}" for b in view.branches for c in b.casts if c.column in ("object_id", "subject_id")]
+    out.append(Finding("Performance", "converted ids", WARN if casts else OK, ", ".join(casts), "filters on these don't reach the tables: store the tuples" if casts else ""))
+    return out
+
+
 def render(findings: list[Finding]) -> str:
     lines, last = [], None
     for f in findings:

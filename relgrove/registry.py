@@ -6,6 +6,7 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def _digest(text: str) -> str:
 
 
 class Registry:
-    """Installs in a Parquet table at ``path``, append only."""
+    """Installs in a Parquet table at ``path``, append only; two at a time get two numbers."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -56,10 +57,27 @@ class Registry:
             return changes | {"skipped": True, "version": last["version"]}
         version = (last["version"] if last else 0) + 1
         if not dry_run:
+            version = self._claim(version)
             row = (version, _digest(schema_text), __version__, sorted(relations), relations, schema_text, datetime.now(UTC).replace(tzinfo=None))
             self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
         return changes | {"skipped": False, "version": version}
 
+    def _claim(self, version: int) -> int:
+        """The first number from ``version`` on that no other install has taken: a file of that name is made, which only one can do."""
+        jvm = self.spark._jvm
+        while True:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{version}")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files.mkdirs(path.getParent())
+            try:
+                files.create(path, False).close()
+            except Py4JJavaError as e:
+                if not files.exists(path):
+                    raise e
+                version += 1
+            else:
+                return version
+
     def status(self, schema_text: str | None = None) -> dict:
         last = self.last()
         if last is None:

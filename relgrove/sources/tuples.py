@@ -88,20 +88,54 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS)
 
 
-def layouts(tuples: DataFrame, path: str) -> None:
-    """Writes ``by_object`` and ``by_subject``, partitioned by type and sorted by relation and id."""
-    for name, kind, keys in (("by_object", "object_type", ("relation", "object_id")), ("by_subject", "subject_type", ("relation", "subject_id"))):
-        # by range, with the id as a key, so that a type with most tuples spreads over many partitions
-        tuples.repartitionByRange(kind, *keys).sortWithinPartitions(kind, *keys).write.partitionBy(kind).parquet(f"{path}/{name}")
+@dataclass(frozen=True)
+class Layout:
+    """A copy of the tuples that some questions want: partitioned by a column, sorted by others; only the wildcards, if so."""
+
+    name: str
+    partition_by: str
+    sort_by: tuple[str, ...]
+    wildcards_only: bool
+    serves: tuple[str, ...]  # the verbs and relations that read it
+
+
+def recommend(analysis) -> list[Layout]:
+    """The fewest layouts that a model's relations want: by object for checks and lists of subjects, by subject for lists of objects, the wildcards apart."""
+    model = analysis.model
+    nodes = sorted(model.nodes())
+    if not nodes:
+        return []
+    each = lambda verbs, of: tuple(f"{v} {t}#{r}" for t, r in of for v in verbs)
+    out = [
+        Layout("by_object", "object_type", ("relation", "object_id"), False, each(("check", "list subjects"), nodes)),
+        Layout("by_subject", "subject_type", ("relation", "subject_id"), False, each(("list objects",), nodes)),
+    ]
+    starred = [n for n in nodes if any(x.wildcard for x in model.refs(*n))]
+    if starred:
+        out.append(Layout("wildcards", "object_type", ("relation", "object_id"), True, each(("check", "list subjects"), starred)))
+    return out
+
 
+def write_layout(tuples: DataFrame, layout: Layout, path: str) -> None:
+    """Writes a layout below ``path``, by range with the id as a key, so that a type with most tuples spreads over many partitions."""
+    rows = tuples.where(F.col("subject_id") == "*") if layout.wildcards_only else tuples
+    keys = (layout.partition_by, *layout.sort_by)
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(layout.partition_by).parquet(f"{path}/{layout.name}")
 
-def advise(tuples: DataFrame, rows: int | None = None) -> list[str]:
-    """Advice on the layout of a store of tuples."""
+
+def layouts(tuples: DataFrame, path: str, analysis=None) -> list[Layout]:
+    """Writes the layouts that the model wants; without a model ``by_object`` and ``by_subject``."""
+    wanted = recommend(analysis) if analysis is not None else [Layout("by_object", "object_type", ("relation", "object_id"), False, ()), Layout("by_subject", "subject_type", ("relation", "subject_id"), False, ())]
+    for layout in wanted:
+        write_layout(tuples, layout, path)
+    return wanted
+
+
+def advise(tuples: DataFrame, rows: int | None = None, analysis=None) -> list[str]:
+    """Advice on the layout of a store of tuples, by its size and by what the model's relations read."""
     rows = tuples.count() if rows is None else rows
     if rows < 1_000_000:
         return [f"{rows} tuples: one sorted table is enough"]
-    return [
-        f"{rows} tuples: keep two copies, sorted by (object_type, relation, object_id) and by (subject_type, relation, subject_id)",
-        "keep the wildcard tuples in a table of their own: they are few and every check reads them",
-        "bucket both copies by their id if the same requests come again and again",
-    ]
+    if analysis is None:
+        return [f"{rows} tuples: keep two copies, sorted by (object_type, relation, object_id) and by (subject_type, relation, subject_id)"]
+    return [f"{rows} tuples: keep {x.name}{' (subject_id is * only)' * x.wildcards_only}, partitioned by {x.partition_by} and sorted by {', '.join(x.sort_by)}, for {len(x.serves)} verbs" for x in recommend(analysis)]
