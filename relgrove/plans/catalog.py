@@ -8,13 +8,14 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgrove.doctor import signatures
+from relgrove.doctor import misfits, signatures
+from relgrove.functions.sql import bulk_from_arrays, register
 from relgrove.operators.common import new_folder
 from relgrove.operators.trees import Trees, expand_links, expand_rows, expand_users
 from relgrove.operators.verbs import REQUEST, Engine
 from relgrove.plans.analysis import Analysis, validate
 from relgrove.plans.dsl import parse
-from relgrove.sources.tuples import COLUMNS, Mapping, read_store, tuples_of, write_store
+from relgrove.sources.tuples import COLUMNS, Mapping, read_store, tuples_from_rows, tuples_of, with_contextual, write_store
 
 SCHEMA = """
 model
@@ -563,3 +564,216 @@ _register(
         "h AS (SELECT s, o, EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'order' AND t.object_id = q.o AND t.relation = 'owner' AND t.subject_type = 'user' AND t.subject_id = q.s) AS owner, EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'order' AND t.object_id = q.o AND t.relation = 'active' AND t.subject_type = 'user' AND t.subject_id = q.s) AS active FROM q)",
     ),
 )
+
+
+# -- traces of other shapes ------------------------------------------------------
+
+
+def _trace_rows(e: Engine, spark: SparkSession, asked: list[tuple[str, str, str, str]]) -> DataFrame:
+    """The nodes of traces; asked: (user, relation, object type, object)."""
+    trees, rows = Trees(e.analysis, e.tuples), []
+    for s, r, t, o in asked:
+        made = trees.explain("user", s, r, t, o)
+        rows += [(s, f"{t}:{o}#{r}", made["result"], made["node_count"], *x) for x in _nodes(made["root"])]
+    return spark.createDataFrame(rows, "subject_id string, asked string, allowed boolean, node_count int, path string, type string, label string, result boolean, evidence string")
+
+
+def _trace_sql(name: str, relation: str, requests: Callable[[SparkSession, str], list[tuple[str, str]]], kind: str, ask: str, flags: dict[str, str], nodes: list[tuple[str, str, str, str, str, str]], allowed: str, count: str) -> None:
+    """Registers explain of one relation. ask: SQL for (s, o); flags: named conditions on q.s and q.o; nodes: (condition, path, type, label, result, evidence) in SQL."""
+    columns = ", ".join(f"({sql}) AS {n}" for n, sql in flags.items())
+    rows = " UNION ALL ".join(f"SELECT s, '{kind}:' || o || '#{relation}' AS asked, ({allowed}) AS allowed, ({count}) AS node_count, '{p}' AS path, '{t}' AS type, {label} AS label, ({result}) AS result, {proof} AS evidence FROM h WHERE {when}" for when, p, t, label, result, proof in nodes)
+    _register(
+        name,
+        lambda e, spark, d: _trace_rows(e, spark, [(s, relation, kind, o) for s, o in requests(spark, d)]),
+        _sql(f"SELECT s AS subject_id, asked, allowed, CAST(node_count AS INTEGER) AS node_count, path, type, label, result, CAST(evidence AS VARCHAR) AS evidence FROM ({rows}) v", f"q AS ({ask}), h AS (SELECT q.s, q.o, {columns} FROM q)"),
+    )
+
+
+def _tuple_of(relation: str, subject: str = "q.s", kind: str = "order", obj: str = "q.o") -> str:
+    return f"EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = '{kind}' AND t.object_id = {obj} AND t.relation = '{relation}' AND t.subject_type = 'user' AND t.subject_id = {subject})"
+
+
+def _urgent(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """The owners of three urgent orders, which are active there, and of two others."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return [(f"c{r[0]}", f"o{r[1]}") for urgent, n in ((True, 3), (False, 2)) for r in orders.where(F.col("urgent") == urgent).orderBy("o_orderkey").limit(n).collect()]
+
+
+_URGENT = "SELECT * FROM (SELECT 'c' || o_custkey AS s, 'o' || o_orderkey AS o FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 3) a UNION ALL SELECT * FROM (SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT' ORDER BY o_orderkey LIMIT 2) b"
+_ON = "'order:' || o"
+_PROOF = "CASE WHEN {0} THEN 'user:' || s || ' {0} order:' || o END"
+
+_trace_sql(
+    "explain_intersection",
+    "own_active",
+    _urgent,
+    "order",
+    _URGENT,
+    {"owner": _tuple_of("owner"), "active": _tuple_of("active")},
+    [
+        ("true", "0", "intersection", f"{_ON} || '#own_active'", "owner AND active", "NULL"),
+        ("true", "0.0", "implied", f"{_ON} || '#own_active from owner'", "owner", "NULL"),
+        ("true", "0.0.0", "direct", f"{_ON} || '#owner'", "owner", _PROOF.format("owner")),
+        ("owner", "0.1", "implied", f"{_ON} || '#own_active from active'", "active", "NULL"),
+        ("owner", "0.1.0", "direct", f"{_ON} || '#active'", "active", _PROOF.format("active")),
+    ],
+    "owner AND active",
+    "CASE WHEN owner THEN 5 ELSE 3 END",
+)
+_trace_sql(
+    "explain_exclusion",
+    "unblocked",
+    _urgent,
+    "order",
+    _URGENT,
+    {"active": _tuple_of("active"), "blocked": _tuple_of("blocked")},
+    [
+        ("active", "0", "exclusion", f"{_ON} || '#unblocked'", "NOT blocked", "NULL"),
+        ("active", "0.0", "implied", f"{_ON} || '#unblocked from active'", "true", "NULL"),
+        ("active", "0.0.0", "direct", f"{_ON} || '#active'", "true", _PROOF.format("active")),
+        ("active", "0.1", "implied", f"{_ON} || '#unblocked from blocked'", "blocked", "NULL"),
+        ("active", "0.1.0", "direct", f"{_ON} || '#blocked'", "blocked", _PROOF.format("blocked")),
+        ("NOT active", "0", "implied", f"{_ON} || '#unblocked from active'", "false", "NULL"),
+        ("NOT active", "0.0", "direct", f"{_ON} || '#active'", "false", "NULL"),
+    ],
+    "active AND NOT blocked",
+    "CASE WHEN active THEN 5 ELSE 2 END",
+)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """Orders of the first customers, each asked about for an auditor of the customer's nation (if there is one) and for nobody."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    first = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).orderBy("o_orderkey").limit(3).select("o_orderkey", "c_nationkey")
+    auditors = customers.where("c_acctbal > 9900").groupBy("c_nationkey").agg(F.min("c_custkey").alias("a"))
+    return [(f"c{r[1]}" if r[1] is not None else "nobody", f"o{r[0]}") for r in first.join(auditors, "c_nationkey", "left").select("o_orderkey", "a").orderBy("o_orderkey").collect()] + [("nobody", "o-none")]
+
+
+_trace_sql(
+    "explain_ttu",
+    "auditor",
+    _links,
+    "order",
+    "SELECT coalesce('c' || a, 'nobody') AS s, 'o' || o_orderkey AS o FROM (SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 3) f LEFT JOIN (SELECT c_nationkey AS n, min(c_custkey) AS a FROM customer WHERE c_acctbal > 9900 GROUP BY ALL) g ON n = c_nationkey UNION ALL SELECT 'nobody', 'o-none'",
+    {
+        "org": "SELECT max(t.subject_id) FROM tuples t WHERE t.object_type = 'order' AND t.relation = 'org' AND t.object_id = q.o",
+        "held": "EXISTS (SELECT 1 FROM tuples t JOIN tuples a ON a.object_type = 'org' AND a.object_id = t.subject_id AND a.relation = 'auditor' WHERE t.object_type = 'order' AND t.relation = 'org' AND t.object_id = q.o AND a.subject_id = q.s)",
+    },
+    [
+        ("true", "0", "ttu", "'auditor from org'", "held", "CASE WHEN org IS NOT NULL THEN 'org:' || org || ' org order:' || o END"),
+        ("org IS NOT NULL", "0.0", "direct", "'org:' || org || '#auditor'", "held", "CASE WHEN held THEN 'user:' || s || ' auditor org:' || org END"),
+    ],
+    "held",
+    "CASE WHEN org IS NULL THEN 1 ELSE 2 END",
+)
+_trace_sql(
+    "explain_wildcard",
+    "public",
+    lambda spark, d: [("c1", f"o{r[0]}") for low in (True, False) for r in spark.read.parquet(f"{d}/orders.parquet").where((F.col("o_orderpriority") == "5-LOW") == low).orderBy("o_orderkey").limit(2).select("o_orderkey").collect()],
+    "order",
+    "SELECT * FROM (SELECT 'c1' AS s, 'o' || o_orderkey AS o FROM orders WHERE o_orderpriority = '5-LOW' ORDER BY o_orderkey LIMIT 2) a UNION ALL SELECT * FROM (SELECT 'c1', 'o' || o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW' ORDER BY o_orderkey LIMIT 2) b",
+    {"everyone": _tuple_of("public", "'*'")},
+    [
+        ("everyone", "0", "wildcard", "'user:*'", "true", "'user:* public order:' || o"),
+        ("NOT everyone", "0", "direct", f"{_ON} || '#public'", "false", "NULL"),
+    ],
+    "everyone",
+    "CASE WHEN everyone THEN 2 ELSE 1 END",
+)
+_trace_sql(
+    "explain_userset",
+    "shared",
+    lambda spark, d: [(f"c{r[0]}", f"p{r[0]}") for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").orderBy("s_suppkey").limit(3).collect()] + [("c1", "p-none")],
+    "folder",
+    "SELECT * FROM (SELECT 'c' || s_suppkey AS s, 'p' || s_suppkey AS o FROM supplier ORDER BY s_suppkey LIMIT 3) a UNION ALL SELECT 'c1', 'p-none'",
+    {"held": "SELECT max(t.subject_id) FROM tuples t WHERE t.object_type = 'folder' AND t.relation = 'shared' AND t.object_id = q.o"},
+    [
+        ("held IS NOT NULL", "0", "userset", "'group:' || held", "true", "'group:' || held || ' shared folder:' || o"),
+        ("held IS NOT NULL", "0.0", "direct", "'group:' || held", "true", "'user:' || s || ' member group:' || string_split(held, '#')[1]"),
+        ("held IS NULL", "0", "union", "'folder:' || o || '#shared'", "false", "NULL"),
+    ],
+    "held IS NOT NULL",
+    "CASE WHEN held IS NOT NULL THEN 2 ELSE 1 END",
+)
+
+# -- sources and functions -------------------------------------------------------
+
+
+def _by_functions(e: Engine, spark: SparkSession, _: str) -> DataFrame:
+    """The SQL functions of a relation, called for a few subjects and objects."""
+    register(e, "org", "admin", _named(spark, "c3", "c7", "c11"))
+    return spark.sql(
+        "SELECT 'objects' AS kind, q.s AS a, f.object_id AS b FROM VALUES ('c3'), ('c7'), ('c11') AS q(s), LATERAL list_org_admin_obj('user', q.s) f"
+        " UNION ALL SELECT 'subjects', q.o, f.subject_id FROM VALUES ('n1'), ('n2') AS q(o), LATERAL list_org_admin_sub(q.o, 'user') f"
+        " UNION ALL SELECT 'check', q.o, cast(f.allowed AS STRING) FROM VALUES ('n1'), ('n2'), ('n3') AS q(o), LATERAL check_org_admin('user', 'c7', q.o) f"
+        " UNION ALL SELECT 'expand', q.o, concat(f.leaf, ' ', f.kind, ' ', f.value) FROM VALUES ('n1'), ('n2') AS q(o), LATERAL expand_org_admin(q.o) f"
+        " UNION ALL SELECT 'explain', q.o, concat(f.leaf, ' ', f.value, ' ', f.holds) FROM VALUES ('n1'), ('n2') AS q(o), LATERAL explain_org_admin('user', 'c7', q.o) f"
+    )
+
+
+_ADMINS = "d AS (SELECT DISTINCT subject_id AS s, object_id AS o, relation FROM tuples WHERE object_type = 'org' AND relation IN ('admin', 'owner')), x AS (SELECT DISTINCT s, o FROM d WHERE s IN ('c3', 'c7', 'c11')), en AS (SELECT o, '0' AS leaf, 'user' AS kind, 'user:' || s AS v FROM d WHERE relation = 'admin' UNION ALL SELECT o, '1', 'computed', 'org:' || o || '#owner' FROM (SELECT DISTINCT object_id AS o FROM tuples WHERE object_type = 'org') w)"
+_register(
+    "sql_functions",
+    _by_functions,
+    _sql(
+        "SELECT 'objects' AS kind, s AS a, o AS b FROM x UNION ALL SELECT 'subjects', o, s FROM x WHERE o IN ('n1', 'n2')"
+        " UNION ALL SELECT 'check', o, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.s = 'c7' AND x.o = w.o) THEN '1' ELSE '0' END FROM (VALUES ('n1'), ('n2'), ('n3')) w(o)"
+        " UNION ALL SELECT 'expand', o, leaf || ' ' || kind || ' ' || v FROM en WHERE o IN ('n1', 'n2')"
+        " UNION ALL SELECT 'explain', o, leaf || ' ' || v || ' ' || CASE WHEN v = 'user:c7' OR kind = 'computed' AND EXISTS (SELECT 1 FROM d WHERE d.s = 'c7' AND d.o = en.o AND d.relation = 'owner') THEN 'true' ELSE 'false' END FROM en WHERE o IN ('n1', 'n2')",
+        _ADMINS,
+    ),
+)
+
+
+def _arrays(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of the first hundred events as five arrays of one row."""
+    first = _requests(spark, sf_dir, "readable").where("idx <= 100").orderBy("idx")
+    one = first.agg(F.sort_array(F.collect_list(F.struct("idx", *REQUEST))).alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in REQUEST))
+    return bulk_from_arrays(e, one, list(REQUEST))
+
+
+_register(
+    "bulk_from_arrays",
+    _arrays,
+    _sql(
+        "SELECT CAST(event_id + 1 AS INTEGER) AS idx, CAST(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.s = 'c' || user_id AND r.o = 'o' || event_id) THEN 1 ELSE 0 END AS INTEGER) AS allowed FROM events WHERE event_id < 100",
+        f"r AS (({SAFE}) UNION ({UNBLOCKED}))",
+    ),
+)
+_ROWS = [("user", "a", "member", "group", "g1"), ("group", "g1#member", "member", "group", "g2"), ("user", "b", "member", "group", "g2"), ("user", "a", "member", "group", "g3")]
+_register(
+    "inline_tuples",
+    lambda e, spark, _: Engine(e.analysis, tuples_from_rows(spark, _ROWS)).subjects_of("group", "member", "user").select("object_id", "subject_id"),
+    "WITH t(k, s, r, ot, o) AS (VALUES " + ", ".join(str(r) for r in _ROWS) + ") SELECT DISTINCT o AS object_id, s AS subject_id FROM t WHERE k = 'user' UNION SELECT b.o, a.s FROM t a JOIN t b ON b.s = a.o || '#member' WHERE a.k = 'user'",
+)
+_register(
+    "list_depth_25",
+    lambda e, spark, _: Engine(e.analysis, e.tuples).objects_of(_named(spark, "deep"), "viewer", "folder", _CHAIN).select("subject_id", "object_id"),
+    _sql(
+        "SELECT 'deep' AS subject_id, o AS object_id FROM chain",
+        "chain AS (SELECT object_id AS o, 0 AS d FROM tuples WHERE relation = 'viewer' AND object_type = 'folder' AND subject_id = 'deep' UNION ALL SELECT t.object_id, c.d + 1 FROM chain c JOIN tuples t ON t.relation = 'parent' AND t.subject_type = 'folder' AND t.subject_id = c.o WHERE c.d + 1 < 25)",
+    ).replace("\n)", _extra(_CHAIN), 1),
+)
+_register(
+    "list_subjects_depth_25",
+    lambda e, spark, _: Engine(e.analysis, e.tuples).subjects_of("folder", "viewer", "user", spark.createDataFrame([(f"z{k}",) for k in range(41)], "object_id string"), _CHAIN).select("object_id", "subject_id"),
+    _sql(
+        "SELECT o AS object_id, 'deep' AS subject_id FROM chain",
+        "chain AS (SELECT object_id AS o, 0 AS d FROM tuples WHERE relation = 'viewer' AND object_type = 'folder' AND subject_id = 'deep' UNION ALL SELECT t.object_id, c.d + 1 FROM chain c JOIN tuples t ON t.relation = 'parent' AND t.subject_type = 'folder' AND t.subject_id = c.o WHERE c.d + 1 < 25)",
+    ).replace("\n)", _extra(_CHAIN), 1),
+)
+_ODD = [("user", "x", "no_such_relation", "order", "o1"), ("robot", "x", "owner", "order", "o1"), ("user", "x", "owner", "planet", "m"), ("service", "x", "owner", "order", "o1"), ("user", " ", "owner", "order", "o1"), ("user", "#x", "owner", "order", "o2")]
+
+
+def _misfits(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of tuples that the schema doesn't know, with their rows."""
+    found = signatures(with_contextual(tuples(spark, sf_dir), _ODD)).collect()
+    return spark.createDataFrame([(k, s, n) for k, s, n in misfits(e.analysis, found)], "what string, signature string, n long")
+
+
+_register(
+    "doctor_misfits",
+    _misfits,
+    "SELECT * FROM (VALUES ('unknown relation', 'user no_such_relation order', 1), ('unknown subject type', 'robot owner order', 1), ('unknown object type', 'user owner planet', 1), ('invalid subject', 'service owner order', 1), ('invalid subject', 'user#x owner order', 1)) v(what, signature, n)",
+)
