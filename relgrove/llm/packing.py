@@ -2,23 +2,22 @@
 
 Bulk-synchronous best-fit decreasing. A document is its token ids and one end
 id; only a document longer than a sequence is cut, its first piece takes the
-remainder. Then, longest pieces first, rounds of:
-
-- the pieces of the round and the open gaps are ranges sorted by length;
-- a successor sweep gives each piece the smallest gap that holds it;
-- pieces that want the same gap are told apart by their rank: the r-th piece of
-  a length takes the r-th sequence of the gap, the rest goes on to the next gap
-  and in the end to new sequences;
-- gaps shrink by what they got, and the next round starts from these.
-
-Lengths are whole numbers up to ``sequence``, so the sorted ranges are kept
-run-length encoded: a gap is a run of sequence numbers with equal room, a
-length is a count. The sweeps thus work on at most ``sequence`` lengths however
-many documents there are, and the plan is a list of runs (length, first rank,
-count, first sequence, offset) whose number depends on ``sequence`` only. What
-is distributed is what grows: tokenising, counting lengths, ranking the pieces
-of each length over all partitions (a prefix sum of counts per partition) and
-looking up each piece's place.
+remainder. Rounds go down the lengths by halves: first the pieces over half a
+sequence, then those over a quarter, an eighth, and the rest. In each round
+
+- the round's pieces and the gaps of open sequences that may hold one are dealt
+  to shares of some ``share`` rows by their rank among equals, so that all
+  shares have alike pieces and gaps, and no two want the same gap;
+- a share is range-sorted, and a successor sweep from the longest piece down
+  gives each the smallest gap that holds it, or else a new sequence. Lengths are
+  whole numbers, so equal pieces and equal gaps are runs that are swept at once;
+- gaps shrink by what they got, and all are dealt anew in the next round.
+
+A share may open a sequence where another share had room. At most about one
+sequence for each share is left that empty, and a last sweep over the contents
+of emptier sequences (``SPARE`` of their length is free) puts them together.
+A piece crosses the network once, a gap once a round; the driver sees counts of
+rounds only.
 
 Defined results: null text counts as empty and gives a piece of the end id
 alone. Repeated rows are packed as documents of their own. A null doc_id stays
@@ -29,20 +28,25 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
+from collections.abc import Sequence
+from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from relgrove.llm.common import checkpointed
+from relgrove.llm.common import checkpointed, own_folder, written
 
 SEQUENCE, END = 2048, 0
+#: Pieces or gaps of a share, about; and how much of a sequence must be free for the last sweep to move its contents.
+SHARE, SPARE = 4096, 0.25
 VOCABULARY = "byte_bpe_50k.json"
 _PROBE = "It's 12 o'clock,  naïve Übermut\n\n\tno—日本語 🙂 don't!!! <|endoftext|> \r\n x=1;  "
 
@@ -110,33 +114,41 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
-def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, count, first sequence, offset) for so many pieces of each length."""
+def plan(counts: dict[int, int], sequence: int = SEQUENCE, rooms: Sequence[int] = ()) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, count, first sequence, offset) for so many pieces of each length.
+
+    rooms: those of open sequences, ascending; they are the first ones by number, new ones follow.
+    """
     runs: list[tuple[int, int, int, int, int]] = []
-    rooms: list[int] = []  # the rooms that some gap has, ascending
+    free: list[int] = []  # the rooms that some gap has, ascending
     gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, count)
-    opened = 0
+    opened = len(rooms)
 
     def leave(room: int, first: int, count: int) -> None:
         if room:
             if room not in gaps:
-                insort(rooms, room)
+                insort(free, room)
                 gaps[room] = []
             gaps[room].append((first, count))
 
+    at = 0
+    for room, same in groupby(rooms):
+        n = sum(1 for _ in same)
+        leave(int(room), at, n)
+        at += n
     for length in sorted((n for n, c in counts.items() if c), reverse=True):
         rank, left = 0, counts[length]
         while left:
-            at = bisect_left(rooms, length)
-            if at < len(rooms):  # the successor: the smallest room that holds the piece
-                room = rooms[at]
+            at = bisect_left(free, length)
+            if at < len(free):  # the successor: the smallest room that holds the piece
+                room = free[at]
                 first, count = gaps[room].pop()
                 if count > left:
                     gaps[room].append((first + left, count - left))
                     count = left
                 if not gaps[room]:
                     del gaps[room]
-                    rooms.pop(at)
+                    free.pop(at)
             else:
                 room, first, count = sequence, opened, -(-left // (sequence // length))
                 opened += count
@@ -146,49 +158,136 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, in
     return runs
 
 
-def pack(made: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """``made``, pieces with their length (any further columns pass through), with sequence_id and offset.
+def ranks(values: np.ndarray) -> np.ndarray:
+    """The number of equal values before each."""
+    order = np.argsort(values, kind="stable")
+    own = values[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    out = np.empty(len(own), np.int64)
+    out[order] = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+    return out
 
-    ``made`` must be a checkpoint or a table: it is read twice, by the same partitions.
-    """
-    counts = checkpointed(made.groupBy(F.spark_partition_id().alias("part"), "length").count())
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``sequence`` rows
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
 
-    def ranked(batches):
-        seen = np.zeros(sequence + 1, np.int64)
-        for b in batches:
-            lengths = b.column(b.schema.get_field_index("length")).to_numpy()
-            order = np.argsort(lengths, kind="stable")
-            own = lengths[order]
-            new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
-            nth = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(own) else own
-            rank = np.empty(len(own), np.int64)
-            rank[order] = nth + seen[own]
-            seen += np.bincount(lengths, minlength=sequence + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank)], [*b.schema.names, "rank"])
-
-    made = made.withColumn("part", F.spark_partition_id())
-    local = made.mapInArrow(ranked, StructType([*made.schema.fields, StructField("rank", LongType())]))
-    runs = np.array(sorted(plan(total, sequence)), np.int64).reshape(-1, 5)
-    key = runs[:, 0] << 44 | runs[:, 1]
-
-    def placed(batches):
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            run = np.searchsorted(key, length << 44 | rank, side="right") - 1
-            seq, offset = runs[run, 3] + rank - runs[run, 1], runs[run, 4]
-            cols = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name not in ("part", "rank")]
-            names = [n for n in b.schema.names if n not in ("part", "rank")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
+def place(sizes: np.ndarray, rooms: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence and offset of each piece, and the rooms that all sequences have then. rooms: ascending, those of the first sequences."""
+    values, counts = np.unique(sizes, return_counts=True)
+    runs = np.array(sorted(plan(dict(zip(values.tolist(), counts.tolist(), strict=True)), sequence, rooms.tolist())), np.int64).reshape(-1, 5)
+    rank = ranks(sizes)
+    run = np.searchsorted(runs[:, 0] << 44 | runs[:, 1], sizes << 44 | rank, side="right") - 1
+    own, offset = runs[run, 3] + rank - runs[run, 1], runs[run, 4]
+    opened = max(0, int(own.max()) + 1 - len(rooms)) if len(own) else 0
+    left = np.r_[rooms, np.full(opened, sequence, np.int64)]
+    np.subtract.at(left, own, sizes)
+    return own, offset, left
+
 
-    whole = local.join(ahead, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead")).drop("ahead")
-    kept = [f for f in whole.schema.fields if f.name not in ("part", "rank")]
-    return whole.mapInArrow(placed, StructType([*kept, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+def _deal(shares: int):
+    """Adds the share of each row: by its rank among the partition's rows of one kind and size, from a start that partitions don't share."""
 
+    def run(batches):
+        seen: dict[int, int] = {}
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            size = b.column(b.schema.get_field_index("size")).to_numpy().astype(np.int64)
+            kind = size * 2 + b.column(b.schema.get_field_index("gap")).to_numpy(zero_copy_only=False)
+            values, counts = np.unique(kind, return_counts=True)
+            before = np.array([seen.get(v, 0) for v in values.tolist()], np.int64)
+            for v, n in zip(values.tolist(), counts.tolist(), strict=True):
+                seen[v] = seen.get(v, 0) + n
+            rank = ranks(kind) + before[np.searchsorted(values, kind)]
+            share = (rank + kind * 40_503 + part * 7_919) % shares
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share)], [*b.schema.names, "share"])
+
+    return run
+
+
+def _swept(sequence: int, number: int, fields: list[str]):
+    """Sweeps each share; rows come sorted by it. Pieces get their place, sequences with room are gap rows."""
+
+    def one(rows: pa.Table, share: int) -> list[pa.RecordBatch]:
+        gap, size = rows.column("gap").to_numpy().astype(bool), rows.column("size").to_numpy()
+        held, pieces = np.flatnonzero(gap), np.flatnonzero(~gap)
+        held = held[np.argsort(size[held], kind="stable")]
+        own, offset, left = place(size[pieces], size[held], sequence)
+        given = rows.column("sequence_id").take(held).to_numpy()  # only those of gaps: with nulls they would become floats
+        ids = np.r_[given.astype(np.int64), (number << 56) + (share << 24) + np.arange(len(left) - len(held))]
+        placed = rows.select(fields).take(pieces)
+        for name, values in (("gap", np.zeros(len(pieces), bool)), ("size", size[pieces]), ("sequence_id", ids[own]), ("offset", offset)):
+            placed = placed.append_column(name, pa.array(values))
+        some = np.flatnonzero(left)
+        open_ = pa.table([pa.nulls(len(some), placed.schema.field(f).type) for f in fields], fields)
+        for name, values in (("gap", np.ones(len(some), bool)), ("size", left[some]), ("sequence_id", ids[some]), ("offset", sequence - left[some])):
+            open_ = open_.append_column(name, pa.array(values))
+        return [b for t in (placed, open_) for b in t.combine_chunks().to_batches()]
 
-def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, sequence: int = SEQUENCE, end: int = END, ids: bool = False) -> DataFrame:
+    def run(batches):
+        share, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column(b.schema.get_field_index("share")).to_numpy()
+            edges = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and of[s] != share:
+                    yield from one(pa.Table.from_batches(held), share)
+                    held = []
+                share = int(of[s])
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from one(pa.Table.from_batches(held), share)
+
+    return run
+
+
+def _sweep(rows: DataFrame, n: int, number: int, path: str, fields: list[StructField], sequence: int, share: int) -> DataFrame:
+    """One round over ``rows`` (the fields, gap, size, sequence_id), of which the greater kind has n: dealt, swept, and stored."""
+    shares = max(1, -(-n // share))
+    dealt = rows.mapInArrow(_deal(shares), StructType([*rows.schema.fields, StructField("share", LongType())]))
+    dealt = dealt.repartition(shares, "share").sortWithinPartitions("share")
+    nullable = [StructField(f.name, f.dataType, True) for f in fields]
+    schema = StructType([*nullable, StructField("gap", BooleanType()), *(StructField(c, LongType()) for c in ("size", "sequence_id", "offset"))])
+    return written(dealt.mapInArrow(_swept(sequence, number, [f.name for f in fields]), schema), path)
+
+
+def pack(made: DataFrame, sequence: int = SEQUENCE, share: int = SHARE) -> DataFrame:
+    """``made``, pieces with their length (any further columns pass through), with sequence_id and offset.
+
+    ``made`` must be a checkpoint or a table, as it is read once a round.
+    """
+    folder, fields = own_folder(made.sparkSession, "packing"), made.schema.fields
+    mine = {"gap": F.lit(False), "size": F.col("length").cast("long"), "sequence_id": F.lit(None).cast("long")}
+    pieces = made.select(*(F.col(f.name) for f in fields), *(c.alias(n) for n, c in mine.items()))
+    bounds = [(sequence // 2, sequence), (sequence // 4, sequence // 2), (sequence // 8, sequence // 4), (0, sequence // 8)]
+    level = F.coalesce(*(F.when(F.col("length") > lo, F.lit(k)) for k, (lo, _) in enumerate(bounds)))
+    todo = {r["level"]: r["count"] for r in made.groupBy(level.alias("level")).count().collect()}  # a row for each round
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    done, gaps = [], None
+    for k, (lo, hi) in enumerate(bounds):
+        if not todo.get(k):
+            continue
+        rows, n = pieces.where((F.col("length") > lo) & (F.col("length") <= hi)), todo[k]
+        if gaps is not None:
+            fit = gaps.where(F.col("size") > lo)
+            n = max(n, fit.count())
+            rows = rows.unionByName(fit.select(*nothing, F.lit(True).alias("gap"), "size", "sequence_id"))
+        swept = _sweep(rows, n, k, f"{folder}/{k}", fields, sequence, share)
+        done.append(swept.where("NOT gap"))
+        new = swept.where("gap").select("size", "sequence_id")
+        gaps = new if gaps is None else new.unionByName(gaps.where(F.col("size") <= lo))
+    if not done:
+        return made.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    placed = reduce(DataFrame.unionByName, done).drop("gap", "size")
+    # the last sweep: what emptier sequences hold are its pieces
+    emptier = gaps.where(F.col("size") >= int(SPARE * sequence))
+    spare = emptier.select(F.col("sequence_id").alias("old"), F.lit(False).alias("gap"), (F.lit(sequence) - F.col("size")).alias("size"), F.lit(None).cast("long").alias("sequence_id"))
+    moved = _sweep(spare, emptier.count(), len(bounds), f"{folder}/moved", [StructField("old", LongType())], sequence, share)
+    moved = moved.where("NOT gap").select(F.col("old").alias("sequence_id"), F.col("sequence_id").alias("new"), F.col("offset").alias("shift"))
+    names = [f.name for f in fields]
+    together = placed.join(moved, "sequence_id", "left")
+    return together.select(*names, F.coalesce("new", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+
+
+def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, sequence: int = SEQUENCE, end: int = END, ids: bool = False, share: int = SHARE) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    packed = pack(checkpointed(pieces(docs, doc_id, text, vocabulary, sequence, end, ids)), sequence)
+    packed = pack(checkpointed(pieces(docs, doc_id, text, vocabulary, sequence, end, ids)), sequence, share)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids, "sequence_id", "offset")

@@ -517,6 +517,49 @@ def test_plan():
     assert packing.plan({}) == []
 
 
+def test_places_in_open_sequences():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sequence = int(rng.choice([16, 100]))
+        rooms = np.sort(rng.integers(1, sequence + 1, rng.integers(0, 40)))
+        sizes = rng.integers(1, sequence + 1, rng.integers(0, 60))
+        own, offset, left = packing.place(sizes, rooms, sequence)
+        fill = {}
+        for n, o, f in sorted(zip(sizes.tolist(), own.tolist(), offset.tolist(), strict=True), key=lambda x: x[2]):
+            at = fill.setdefault(o, sequence - (int(rooms[o]) if o < len(rooms) else sequence))
+            assert f == at  # gapless from what was there
+            fill[o] += n
+        assert all(f <= sequence and left[o] == sequence - f for o, f in fill.items())
+        bins = sorted(rooms.tolist())
+        for n in sorted(sizes.tolist(), reverse=True):  # piece by piece
+            fits = [r for r in bins if r >= n]
+            if fits:
+                bins.remove(min(fits))
+            bins.append((min(fits) if fits else sequence) - n)
+        assert len(left) <= len(bins) * 1.02 + 1
+
+
+@pytest.mark.parametrize("share", [8, 50, 4096])
+def test_rounds_over_shares(spark, share):
+    rng = random.Random(share)
+    lengths = [rng.choice([rng.randrange(1, 257), rng.randrange(1, 20), 100, 129, 256]) for _ in range(700)]
+    made = spark.createDataFrame([(k, n, "x") for k, n in enumerate(lengths)], "doc_id long, length long, gap string").repartition(5)
+    made = made.withColumnRenamed("gap", "note").checkpoint()
+    got = packing.pack(made, 256, share).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(700)) and {r["note"] for r in got} == {"x"}
+    fill = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in fill.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 256
+    best = plain_best_fit(Counter(lengths), 256)
+    assert len(fill) <= (best + 1 if share == 4096 else best * 1.06 + 1)
+
+
 def test_packing(spark):
     rows = awkward() + [(None, "no id"), (90, "<|endoftext|> is an id"), (91, "a <|endoftext|> b<|endoftext|>"), (92, "\n" * 1_000_000 + "x")]
     got = packing.best_fit(clashing(spark, rows), sequence=256, ids=True).collect()
