@@ -9,8 +9,11 @@ one line is foreign, and each copy has its own; a single chunking would seldom
 cut just there in all copies, but one of many does. The boundaries of all
 chunkings are the bits of a number, so they are compared at once.
 
-Chunks of 2 to ``max_lines`` lines that occur again anywhere in the corpus are
-removed, all but the first by (doc_id, position). What is cut points to an
+A line of ``LONG_LINE`` blanks or more, so of over 50 words, is a passage by
+itself and a chunk of its own, besides.
+
+Chunks of 2 to ``max_lines`` lines, and long lines, that occur again anywhere in
+the corpus are removed, all but the first by (doc_id, position). What is cut points to an
 earlier copy, so the first copy of each line that repeats stays somewhere. A
 line that follows itself is no passage; such runs stay unless they repeat.
 
@@ -34,16 +37,16 @@ from pyspark.sql import functions as F
 
 from relgrove.llm.common import checkpointed, row_number_of_scan, scratch, text_of, written
 
-CHUNKINGS, MAX_LINES = 24, 8
+CHUNKINGS, MAX_LINES, LONG_LINE = 24, 8, 50
 #: Bits of a line's hash; 31 times it and another still fit into a long.
 _HASH_DIGITS = 14
 KEY = ["key", "key_2"]
 
-#: For each line: its number, the boundaries before it and the next ones, and the hashes of as many lines from it on.
+#: For each line: its number, the boundaries before it and the next ones, the hashes of as many lines from it on, and whether it is long.
 _LINES = r"""
 transform(array(transform(ls, l -> cast(conv(substring(md5(l), 1, {digits}), 16, 10) as bigint))), hs ->
  transform(array(transform(hs, (h, i) -> if(i = 0, {every}L, (hs[i - 1] * 31 + h | shiftright(hs[i - 1] * 31 + h, 1)) & {every}L))), bs ->
-  transform(sequence(0, size(hs) - 2), i -> named_struct('pos', i, 'b', slice(bs, i + 1, {lines} + 1), 'h', slice(hs, i + 1, {lines})))
+  transform(hs, (h, i) -> named_struct('pos', i, 'b', slice(bs, i + 1, {lines} + 1), 'h', slice(hs, i + 1, {lines}), 'long', length(ls[i]) - length(replace(ls[i], ' ', '')) >= {long}))
  )[0])[0]
 """
 
@@ -64,16 +67,16 @@ def _piece(pos: Column, n: Column) -> Column:
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunkings: int = CHUNKINGS, max_lines: int = MAX_LINES, hash_bits: int = 128) -> DataFrame:
-    """(rid, doc_id, pos, n, key, key_2): the chunks of 2 to ``max_lines`` lines; pos is the first line, from 0.
+    """(rid, doc_id, pos, n, key, key_2): the chunks of 2 to ``max_lines`` lines and the long lines; pos is the first line, from 0.
 
     The keys are a hash of 128 bits, or of ``hash_bits`` bits if that is under 64.
     """
     every = every_chunking(chunkings)
-    lines = _LINES.format(digits=_HASH_DIGITS, every=every, lines=int(max_lines))
-    texts = docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), _lines_of(text).alias("ls")).where(F.size("ls") > 1)
+    lines = _LINES.format(digits=_HASH_DIGITS, every=every, lines=int(max_lines), long=LONG_LINE)
+    texts = docs.select(row_number_of_scan().alias("rid"), F.col(doc_id).alias("doc_id"), _lines_of(text).alias("ls"))
     rows = texts.select("rid", "doc_id", F.inline(F.expr(lines)))
     after = lambda k: F.coalesce(F.get("b", F.lit(k)), F.lit(every))  # noqa: E731: the end of the text is a boundary of all chunkings
-    sizes = []
+    sizes = [F.when(F.col("long"), F.lit(1))]
     for n in range(2, max_lines + 1):
         through = reduce(lambda m, k: m.bitwiseAND(F.bitwise_not(after(k))), range(1, n), F.get("b", F.lit(0)))
         sizes.append(F.when(through.bitwiseAND(after(n)) != 0, F.lit(n)))

@@ -98,7 +98,8 @@ b AS (SELECT *, CASE WHEN i = 1 THEN {_EVERY} ELSE (v | (v >> 1)) & {_EVERY} END
 s AS (SELECT doc_id, i, list(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {line_dedup.MAX_LINES} FOLLOWING)
  || list_transform(range({line_dedup.MAX_LINES}), lambda x: {_EVERY}) AS bs FROM b),
 n AS (SELECT doc_id, i, bs, unnest(range(2, {line_dedup.MAX_LINES} + 1)) AS n FROM s),
-c AS (SELECT doc_id, i, n FROM n WHERE list_reduce(list_transform(bs[1:n], lambda x, k: CASE WHEN k = 1 THEN x ELSE {_EVERY} & ~x END), lambda x, y: x & y) & bs[n + 1] != 0),
+c AS (SELECT doc_id, i, n FROM n WHERE list_reduce(list_transform(bs[1:n], lambda x, k: CASE WHEN k = 1 THEN x ELSE {_EVERY} & ~x END), lambda x, y: x & y) & bs[n + 1] != 0
+ UNION ALL SELECT doc_id, i, 1 FROM l WHERE length(line) - length(replace(line, ' ', '')) >= {line_dedup.LONG_LINE}),
 k AS (SELECT c.doc_id, c.i, c.n, string_agg(l.line, chr(10) ORDER BY l.i) AS chunk FROM c JOIN l ON l.doc_id = c.doc_id AND l.i >= c.i AND l.i < c.i + c.n
  GROUP BY c.doc_id, c.i, c.n HAVING count(*) = c.n),
 r AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, chunk ORDER BY doc_id, i) AS rn FROM k),

@@ -176,6 +176,8 @@ def test_line_dedup_by_brute_force(spark):
         own = [words(rng, 5) for _ in range(rng.randrange(0, 9))]
         at = rng.randrange(len(own) + 1)
         rows.append((d, "\n".join(own[:at] + (passage if d % 3 == 0 else []) + own[at:])))
+    long = [words(rng, 51), words(rng, 50), words(rng, 300)]  # over 50 words: passages by themselves
+    rows += [(60 + k, "\n".join([words(rng, 4), x, words(rng, 4)])) for k, x in enumerate(long * 2)] + [(70, long[0]), (71, long[1])]
     rows += [(50, None), (51, ""), (52, "\n\n\n"), (53, rows[0][1]), (54, "\n".join(words(rng, 3) for _ in range(700)))]
     h = lambda x: int(md5(x.encode()).hexdigest()[:14], 16)
     chunks = set()
@@ -185,6 +187,7 @@ def test_line_dedup_by_brute_force(spark):
         for k in range(line_dedup.CHUNKINGS):  # one chunking after the other
             starts = [0, *(i for i, v in enumerate(rolled, 1) if v >> 2 * k & 3), len(ls)]
             chunks |= {(d, s, "\n".join(ls[s:e]), e - s) for s, e in zip(starts, starts[1:], strict=False) if 2 <= e - s <= line_dedup.MAX_LINES}
+        chunks |= {(d, s, x, 1) for s, x in enumerate(ls) if len(x.split()) > 50}
     first, gone = {}, {d: set() for d, _ in rows}
     for d, s, c, n in sorted(chunks):
         if first.setdefault((n, c), (d, s)) != (d, s):
@@ -196,6 +199,7 @@ def test_line_dedup_by_brute_force(spark):
     for bits in (64, 3):
         got = {r["doc_id"]: r for r in line_dedup.deduplicate(clashing(spark, rows), hash_bits=bits).collect()}
         assert {d: r["text"] for d, r in got.items()} == {d: "\n".join(c) for d, c in want.items()}
+    assert [got[d]["removed_lines"] for d in (60, 61, 62, 63, 64, 65, 70, 71)] == [0, 0, 0, 1, 0, 1, 1, 0]
     assert got[53]["removed_lines"] > 0 and sum(r["removed_lines"] for r in got.values()) > 50
     assert line_dedup.deduplicate(docs_of(spark, [])).count() == 0
     twins = line_dedup.deduplicate(docs_of(spark, [(1, "a\nb\nc\nd\ne\nf")] * 2)).collect()
