@@ -18,10 +18,11 @@ earlier copy, so the first copy of each line that repeats stays somewhere. A
 line that follows itself is no passage; such runs stay unless they repeat.
 
 Chunks meet by a 128-bit hash of their lines' hashes, sixteen bytes a chunk.
-Those that occur again are compared byte by byte (the least and the greatest
-chunk of each hash). Where these differ, the copies of that hash, and only
-they, are grouped again by the chunks themselves. Texts are shuffled once, by
-row number: the comparison and the result read the same shuffle.
+Those that occur again are compared: the lists of their lines' identifiers, and
+byte by byte the lines of each identifier (the least with the greatest), so a
+line that many chunks share moves once a text. Where anything differs, the
+copies of that key, and only they, are grouped again by the chunks' bytes. Texts
+are shuffled once, by row number: comparisons and result read the same shuffle.
 
 Defined results: null text counts as empty, which is one empty line. Repeated
 rows count as documents of their own. Rows without doc_id come after all
@@ -81,10 +82,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunking
         through = reduce(lambda m, k: m.bitwiseAND(F.bitwise_not(after(k))), range(1, n), F.get("b", F.lit(0)))
         sizes.append(F.when(through.bitwiseAND(after(n)) != 0, F.lit(n)))
     found = rows.withColumn("n", F.explode(F.array_compact(F.array(*sizes)))).withColumn("h", F.slice("h", F.lit(1), F.col("n")))
-    if hash_bits < 64:
-        keys = F.pmod(F.xxhash64("h"), F.lit(1 << hash_bits)), F.lit(0).cast("long")
-    else:
-        keys = F.xxhash64("h"), F.xxhash64(F.lit(1), "h")
+    keys = _bits(F.xxhash64("h"), hash_bits), F.xxhash64(F.lit(1), "h") if hash_bits >= 64 else F.lit(0).cast("long")
     return found.select("rid", "doc_id", "pos", "n", *(k.alias(name) for k, name in zip(keys, KEY, strict=True)))
 
 
@@ -115,15 +113,26 @@ def _opened(texts: DataFrame, *columns: str) -> DataFrame:
     return texts.select("rid", F.get("row", F.lit(0)).alias("id"), F.slice("row", F.lit(2), F.size("row")).alias("ls"), *columns)
 
 
+def _bits(h: Column, hash_bits: int) -> Column:
+    return F.pmod(h, F.lit(1 << hash_bits)) if hash_bits < 64 else h
+
+
 def _pieces(texts: DataFrame, cuts: DataFrame, doc_id_type: str) -> DataFrame:
     """(rid, doc_id, pos, n, key, key_2, chunk) for the chunks in the cuts."""
     rows = _opened(texts.join(cuts, "rid"), "cut").select("rid", F.col("id").cast(doc_id_type).alias("doc_id"), "ls", F.explode("cut").alias("c"))
     return rows.select("rid", "doc_id", "c.pos", "c.n", *(f"c.{k}" for k in KEY), _piece(F.col("c.pos"), F.col("c.n")).alias("chunk"))
 
 
-def unverified(pieces: DataFrame) -> DataFrame:
-    """The keys that stand for chunks that differ, by comparing bytes."""
-    return pieces.groupBy(*KEY).agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest")).where("least != greatest").select(*KEY)
+def unverified(texts: DataFrame, cuts: DataFrame, hash_bits: int = 128) -> DataFrame:
+    """The keys that may stand for chunks that differ: their lists of line identifiers do, or an identifier stands for lines that do, by comparing bytes."""
+    rows = _opened(texts.join(cuts, "rid"), "cut")
+    ids = F.transform("ls", lambda line: _bits(F.xxhash64(line), hash_bits))
+    entries = rows.select(ids.alias("ids"), F.explode("cut").alias("c")).select(*(f"c.{k}" for k in KEY), F.slice("ids", F.col("c.pos") + 1, F.col("c.n")).alias("ids"))
+    mixed = entries.groupBy(*KEY).agg(F.min("ids").alias("least"), F.max("ids").alias("greatest")).where("least != greatest").select(*KEY)
+    lines = rows.select(F.explode(F.expr("array_distinct(flatten(transform(cut, c -> slice(ls, c.pos + 1, c.n))))")).alias("line"))
+    several = lines.groupBy(_bits(F.xxhash64("line"), hash_bits).alias("id")).agg(F.min("line").alias("least"), F.max("line").alias("greatest")).where("least != greatest").select("id")
+    holders = entries.select(*KEY, F.explode("ids").alias("id")).join(several, "id", "left_semi").select(*KEY)
+    return mixed.unionByName(holders).distinct()
 
 
 def regrouped(texts: DataFrame, cuts: DataFrame, bad: DataFrame, doc_id_type: str) -> DataFrame:
@@ -145,7 +154,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     """(doc_id, n_lines, removed_lines, text): each row's text without the lines of chunks that stand elsewhere already."""
     cuts = removals(docs, doc_id, text, chunkings, max_lines, hash_bits)
     texts, id_type = texts_of(docs, doc_id, text), docs.schema[doc_id].dataType.simpleString()
-    again = regrouped(texts, cuts, unverified(_pieces(texts, cuts, id_type)), id_type)
+    again = regrouped(texts, cuts, unverified(texts, cuts, hash_bits), id_type)
     valid = F.expr(
         """array_distinct(flatten(concat(
             transform(filter(cut, c -> c.gone AND NOT exists(again, a -> a.pos = c.pos AND a.n = c.n)), c -> sequence(c.pos, c.pos + c.n - 1)),
