@@ -39,12 +39,14 @@ class ResolutionTooDeep(RuntimeError):
 class Forward:
     """Values of relations for the given subjects (subject_type, subject_id)."""
 
-    def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH, demand: dict[Node, DataFrame | None] | None = None):
+    def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH, demand: dict[Node, DataFrame | None] | None = None, few: list[str] | None = None):
         self.analysis, self.model, self.tuples = analysis, analysis.model, tuples
         #: Relations whose value is wanted for some objects (object_id) only, or (None) for none.
         self.demand = demand or {}
-        # stored, as each direct grant joins them
-        self.subjects = checkpointed(subjects.select("subject_type", "subject_id").distinct())
+        #: The subjects' ids, if they are so few that scans may filter by them.
+        self.few = few
+        subjects = subjects.select("subject_type", "subject_id")
+        self.subjects = subjects if few else checkpointed(subjects.distinct())  # stored, as each direct grant joins them
         self.wildcards, self.max_depth = wildcards, max_depth
         self.values: dict[Node, DataFrame] = {}
         self._deals: int | None = None
@@ -112,7 +114,9 @@ class Forward:
         plain = [r.type for r in e.refs if not r.relation and not r.wildcard]
         stars = [r.type for r in e.refs if r.wildcard]
         if plain or stars:
-            out.append(self._named(node, e).join(self.subjects, ["subject_type", "subject_id"]).select(*KEY))
+            named = self._named(node, e)
+            named = named.where(F.col("subject_id").isin(*self.few)) if self.few else named
+            out.append(named.join(self.subjects, ["subject_type", "subject_id"]).select(*KEY))
             if stars and self.wildcards:
                 single = self.subjects.where(~is_userset("subject_id") & ~is_wildcard("subject_id"))
                 out.append(self._for_all(self._everyone(node, e), single))
@@ -121,7 +125,7 @@ class Forward:
     def _for_all(self, granted: DataFrame, single: DataFrame) -> DataFrame:
         """Wildcard grants multiplied by the subjects asked about, as a list for all of them wants; subjects are dealt, so that no task gets all pairs of a type."""
         if self._deals is None:
-            self._deals = max(1, -(-single.count() // _DEAL))
+            self._deals = 1 if self.few else max(1, -(-single.count() // _DEAL))
         if self._deals == 1:
             return granted.join(single, "subject_type").select(*KEY)
         each = granted.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(self._deals - 1))))

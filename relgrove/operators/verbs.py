@@ -100,15 +100,15 @@ class Engine:
         one = self.tuples.sparkSession.createDataFrame([row], "idx int, subject_type string, subject_id string, relation string, object_type string, object_id string")
         return self.check_bulk(one, contextual, [(object_type, relation)]).first()["allowed"]
 
-    def objects_of(self, subjects: DataFrame, relation: str, object_type: str, contextual=None) -> DataFrame:
-        """(subject_type, subject_id, object_id) for many subjects at once."""
+    def objects_of(self, subjects: DataFrame, relation: str, object_type: str, contextual=None, few: list[str] | None = None) -> DataFrame:
+        """(subject_type, subject_id, object_id) for many subjects at once. few: their ids, if scans should filter by them."""
         self._too_deep((object_type, relation))
-        return Forward(self.analysis, self._facts(contextual), subjects, True, self.max_depth).value(object_type, relation)
+        return Forward(self.analysis, self._facts(contextual), subjects, True, self.max_depth, few=few).value(object_type, relation)
 
     def list_objects(self, subject_type: str, subject_id: str, relation: str, object_type: str, limit: int | None = None, after: str | None = None, contextual=None) -> DataFrame:
         """(object_id, next_cursor): the objects on which a subject holds a relation, in order."""
         one = self.tuples.sparkSession.createDataFrame([(subject_type, subject_id)], "subject_type string, subject_id string")
-        return page(self.objects_of(one, relation, object_type, contextual), "object_id", limit, after)
+        return page(self.objects_of(one, relation, object_type, contextual, [subject_id]), "object_id", limit, after)
 
     def subjects_of(self, object_type: str, relation: str, subject_type: str, objects: DataFrame | None = None, contextual=None) -> DataFrame:
         """(object_id, subject_id) for all objects of a type, or for those given (object_id), at once.
