@@ -184,3 +184,86 @@ def links(fps: np.ndarray, ends: np.ndarray, radius: int, small: int = 64) -> tu
         label[s : s + k] = s + components_of_group(fps[s : s + k], radius)
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
+
+
+class CarrySave:
+    """Counts of differing bits without a bound, sixteen planes at a time: carries of 1, 2, 4 and 8 are saved, only those of 16 ripple."""
+
+    def __init__(self, lanes: int, bits: int):
+        self.counts = np.zeros((4 + (bits // 16).bit_length(), lanes), np.uint64)
+
+    def add(self, planes: np.ndarray):
+        carries = planes
+        for level in range(4):
+            a, b = carries[::2], carries[1::2]
+            x, out, c = a ^ b, a & b, self.counts[level]
+            for k in range(len(x)):
+                out[k] |= c & x[k]
+                c ^= x[k]
+            carries = out
+        carry = carries[0]
+        for c in self.counts[4:]:
+            more = c & carry
+            c ^= carry
+            carry = more
+
+    def exceeds(self, radius: int):
+        """The lanes whose count is over the radius."""
+        above, equal = np.zeros_like(self.counts[0]), np.full_like(self.counts[0], _ONES)
+        for k in reversed(range(len(self.counts))):
+            if radius >> k & 1:
+                equal &= self.counts[k]
+            else:
+                above |= equal & self.counts[k]
+                equal &= ~self.counts[k]
+        return above
+
+
+def _run(words: np.ndarray, shift: int):
+    """Ascending numbers of words, shifted, as a slice if there are no gaps."""
+    first, last = int(words[0]) + shift, int(words[-1]) + shift
+    return slice(first, last + 1) if last - first + 1 == len(words) else words + shift
+
+
+def wide_neighbours(fps: np.ndarray, ends: np.ndarray, radius: int):
+    """Yield arrays (i, j) of pairs i < j < ends[i] within the radius, each pair once, for fingerprints of several words: (rows, words) uint64.
+
+    Round k compares each lane with the k-th lane after it, for all groups at
+    once. Blocks of 64 lanes that are all out of reach are abandoned.
+    """
+    n, bits = len(fps), 64 * fps.shape[1]
+    words = -(-n // 64)
+    padded = np.zeros((words * 64, fps.shape[1]), np.uint64)
+    padded[:n] = fps
+    flags = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    p = np.zeros((bits, words + 1), np.uint64)  # the last word is empty, for shifts
+    p[:, :words] = np.packbits(np.ascontiguousarray(flags.T), axis=1, bitorder="little").view(np.uint64)
+    lane, inside = np.arange(n), np.zeros(words * 64, bool)
+    for k in range(1, int((ends - lane).max(initial=1))):
+        inside[:n] = lane + k < ends
+        valid = np.packbits(inside, bitorder="little").view(np.uint64)
+        alive = np.flatnonzero(valid)
+        if not len(alive):
+            break
+        w, r = divmod(k, 64)
+        count = CarrySave(len(alive), bits)
+        own, at, after = (_run(alive, shift) for shift in (0, w, w + 1))
+        for b in range(0, bits, 16):
+            rows = p[b : b + 16]
+            differ = rows[:, own] ^ (rows[:, at] >> np.uint64(r))
+            if r:
+                differ ^= rows[:, after] << np.uint64(64 - r)
+            count.add(differ)
+            if b + 16 > 2 * radius and b % 32 and b + 16 < bits:  # before, hardly any block is out of reach
+                live = (~count.exceeds(radius) & valid[alive]) != 0
+                if not live.all():
+                    alive, count.counts = alive[live], np.ascontiguousarray(count.counts[:, live])
+                    if not len(alive):
+                        break
+                    own, at, after = (_run(alive, shift) for shift in (0, w, w + 1))
+        if len(alive):
+            hit = np.zeros(words, np.uint64)
+            hit[alive] = ~count.exceeds(radius) & valid[alive]
+            i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
+            if len(i):
+                yield i, i + k
