@@ -80,6 +80,26 @@ def row_number_of_scan() -> Column:
     return F.monotonically_increasing_id()
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A thin table written to the shared folder, so that the planner knows its size and need not shuffle a large one for few rows."""
+    return written(df, f"{own_folder(df.sparkSession, 'sized')}/rows")
+
+
+def numbered(df: DataFrame, rid: str, numbers: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of ``df`` whose number (long column ``rid``) is in the only column of ``numbers``, or without ``keep`` the others.
+
+    The numbers become words of a bitmap, a row for each 64, so this table mostly
+    is small enough for the planner to broadcast it, and ``df`` is not shuffled.
+    """
+    word, bits = free_name(df, "word"), free_name(df, "bits")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(F.lit(63)).cast("int"))
+    n = F.col(numbers.columns[0])
+    bitmap = sized(numbers.groupBy(F.shiftright(n, 6).alias(word)).agg(F.bit_or(bit(n)).alias(bits)))
+    found = df.withColumn(word, F.shiftright(rid, 6)).join(bitmap, word, "inner" if keep else "left")
+    there = F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bit(F.col(rid))) != 0
+    return found.where(there if keep else ~there).drop(word, bits)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, or the first variant of it that is no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relgrove.llm.common import checkpointed, free_name, row_number_of_scan, text_of
+from relgrove.llm.common import checkpointed, free_name, numbered, row_number_of_scan, text_of
 
 #: A chunk has 512 characters at least and ends before a blank or a punctuation
 #: mark that two letters of certain classes follow; 4096 characters end it anyway.
@@ -99,5 +99,5 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, with all its columns, without the rows that another equal row replaces."""
     rid = free_name(docs, "rid")
-    dropped = decisions(docs, doc_id, text).where(~F.col("kept")).select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, row_number_of_scan()).join(dropped, rid, "left_anti").drop(rid)
+    dropped = decisions(docs, doc_id, text).where(~F.col("kept")).select("rid")
+    return numbered(docs.withColumn(rid, row_number_of_scan()), rid, dropped, keep=False).drop(rid)

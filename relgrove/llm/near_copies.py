@@ -18,8 +18,9 @@ Two texts are near copies if their sets of five-word shingles (words as in
    sets' sizes and as far as sizes allow the similarity.
 5. Each node with candidates is compared with the least of them in the bucket,
    exactly, by the shingles.
-6. Groups of candidates with more pairs than that whose members these links
-   leave in different components are compared whole. Their members' sets of
+6. Groups of candidates with more pairs than that, joined over the tables where
+   they share members, whose members these links leave in different components
+   are compared whole. Their members' sets of
    shingle hashes become the rows of a bit matrix, whose AND and popcounts give
    the exact overlaps of all pairs at once, within a task. A group returns a
    spanning forest of what it links, so it returns fewer links than it has
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgrove.llm import bitslice
-from relgrove.llm.common import checkpointed, free_name, own_folder, row_number_of_scan, written
+from relgrove.llm.common import checkpointed, free_name, numbered, row_number_of_scan, sized
 from relgrove.llm.components import connected_components
 from relgrove.llm.simhash import SEED, shingle_hashes
 
@@ -145,15 +146,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
     return df.mapInArrow(run, "rid long, doc_id long, node binary, size long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A thin table written to the shared folder, so that the planner knows its size and need not shuffle a large one for few rows."""
-    return written(df, f"{own_folder(df.sparkSession, 'near')}/rows")
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of row numbers, u < v, whose texts are similar enough; each text comes once for a pair's v, and once for all pairs of a u."""
-    texts = docs.select(row_number_of_scan().alias("rid"), F.col(text).alias("text"))
-    needed = _sized(pairs.select("u", F.col("v").alias("rid")).unionByName(pairs.select("u", F.col("u").alias("rid")).distinct()))
+    needed = sized(pairs.select("u", F.col("v").alias("rid")).unionByName(pairs.select("u", F.col("u").alias("rid")).distinct()))
+    texts = numbered(docs.select(row_number_of_scan().alias("rid"), F.col(text).alias("text")), "rid", needed.select("rid"))
 
     def run(batches):
         u, own = None, set()
@@ -329,7 +325,7 @@ def hash_sets(docs: DataFrame, rids: DataFrame, text: str, words: int) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "hashes"])
 
     texts = docs.select(row_number_of_scan().alias("rid"), F.col(text).alias("text"))
-    return texts.join(rids, "rid", "left_semi").mapInArrow(run, "rid long, hashes array<long>")
+    return numbered(texts, "rid", rids).mapInArrow(run, "rid long, hashes array<long>")
 
 
 def _dealt(m):
@@ -338,6 +334,23 @@ def _dealt(m):
     return F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
 
 
+def groups(found: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
+    """(rid, size, key): the members of the groups to compare whole, given those of the tables' groups as (rid, head, key).
+
+    Tables find much the same members again and again, each in groups of its
+    own. Groups that share members, of any tables, become one, which holds all
+    their pairs; what would get larger than a task's share stays as found.
+    """
+    found = checkpointed(found)
+    joined = connected_components(found.select(F.col("rid").alias("u"), F.col("head").alias("v")))
+    own = found.select("rid").distinct().join(joined, F.col("rid") == joined.node, "left").select("rid", F.coalesce("root", "rid").alias("key"))
+    own = checkpointed(own.join(nodes.select("rid", "size"), "rid"))
+    large = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).where((F.col("n") > chunk) | (F.col("held") > _HELD_SETS))
+    large = own.join(sized(large.select("key")), "key", "left_semi").select("rid", "size")
+    large = checkpointed(found.select("rid", F.xxhash64("key", "head").alias("key")).join(large, "rid"))
+    return own.join(large.select("rid").distinct(), "rid", "left_anti").unionByName(large)
+
+
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: int | None = None, rows: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) between nodes (rid, size, words of the fingerprint: each shingle set once) that connect just what near copies connect."""
     if rows is None:
@@ -345,20 +358,20 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = WO
     deal, thin = ["key", "i", "j"], ["rid", "size", *_WORDS]
     keyed = nodes.where("size > 0").select(*thin).mapInArrow(_keys(bands or bands_for(rows), rows), ", ".join(f"{c} long" for c in thin) + ", keys array<long>")
     keyed = keyed.select(*thin, F.explode("keys").alias("key"))
-    crowded = _sized(keyed.groupBy("key").count().where(F.col("count") > _CHUNKS * chunk).select("key", F.ceil(F.col("count") / (_CHUNKS * chunk)).cast("int").alias("m")))
+    crowded = sized(keyed.groupBy("key").count().where(F.col("count") > _CHUNKS * chunk).select("key", F.ceil(F.col("count") / (_CHUNKS * chunk)).cast("int").alias("m")))
     buckets = keyed.join(crowded, "key", "left").select("key", *thin, F.inline(_dealt(F.coalesce("m", F.lit(1)))))
     buckets = buckets.repartition(*deal).sortWithinPartitions(*deal, "size").select(*deal, "size", "rid", *_WORDS)
     found = checkpointed(buckets.mapInArrow(_candidates(similarity, radius), "rid long, v long, key long, i long, j long, head long"))
     stars = checkpointed(found.where("v IS NOT NULL").select(F.col("rid").alias("u"), "v").distinct())
     first = checkpointed(_verified(docs, stars, text, words, similarity))
     roots = connected_components(first)
-    members = found.where("v IS NULL").select("rid", F.xxhash64(*deal, "head").alias("key")).join(nodes.select("rid", "size"), "rid")
+    members = groups(found.where("v IS NULL").select("rid", "head", F.xxhash64(*deal).alias("key")), nodes, chunk)
     tied = members.join(roots, members.rid == roots.node, "left").select("key", "rid", "size", F.coalesce("root", "rid").alias("root"))
     mixed = tied.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key", "n", "held")
     mixed = checkpointed(mixed)  # so that both sides of the join are shuffled for it, and it may split the rows of a crowded key
     m = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("held") / _HELD_SETS)).cast("int")
     rest = checkpointed(tied.join(mixed, "key").select("key", "rid", "root", F.inline(_dealt(m))))
-    sets = checkpointed(hash_sets(docs, _sized(rest.select("rid").distinct()), text, words))
+    sets = checkpointed(hash_sets(docs, rest.select("rid"), text, words))
     whole = rest.join(sets, "rid").repartition(*deal).sortWithinPartitions(*deal).select(*deal, "rid", "root", "hashes")
     return first.unionByName(whole.mapInArrow(_whole_buckets(similarity), "u long, v long"))
 
@@ -373,4 +386,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     tied = heads.join(roots, F.col("own.rid") == roots.node, "left").select("first", F.coalesce("root", "own.rid").alias("root"))
     least = tied.groupBy("root").agg(F.min("first").alias("least")).select("least.rid")
     rid = free_name(docs, "rid")
-    return docs.withColumn(rid, row_number_of_scan()).join(least.select(F.col("rid").alias(rid)), rid, "left_semi").drop(rid)
+    return numbered(docs.withColumn(rid, row_number_of_scan()), rid, least).drop(rid)
