@@ -339,16 +339,18 @@ def groups(found: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
 
     Tables find much the same members again and again, each in groups of its
     own. Groups that share members, of any tables, become one, which holds all
-    their pairs; what would get larger than a task's share stays as found.
+    their pairs. Groups over a task's share stay as found where dealing the one
+    into pairs of chunks would take more rows than these have.
     """
     found = checkpointed(found)
     joined = connected_components(found.select(F.col("rid").alias("u"), F.col("head").alias("v")))
-    own = found.select("rid").distinct().join(joined, F.col("rid") == joined.node, "left").select("rid", F.coalesce("root", "rid").alias("key"))
+    own = found.groupBy("rid").count().join(joined, F.col("rid") == joined.node, "left").select("rid", "count", F.coalesce("root", "rid").alias("key"))
     own = checkpointed(own.join(nodes.select("rid", "size"), "rid"))
-    large = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).where((F.col("n") > chunk) | (F.col("held") > _HELD_SETS))
+    large = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.sum("count").alias("found"))
+    large = large.withColumn("m", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("held") / _HELD_SETS))).where("m > 1 AND n * m > found")
     large = own.join(sized(large.select("key")), "key", "left_semi").select("rid", "size")
     large = checkpointed(found.select("rid", F.xxhash64("key", "head").alias("key")).join(large, "rid"))
-    return own.join(large.select("rid").distinct(), "rid", "left_anti").unionByName(large)
+    return own.join(large.select("rid").distinct(), "rid", "left_anti").select("rid", "size", "key").unionByName(large.select("rid", "size", "key"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: int | None = None, rows: int | None = None, chunk: int = CHUNK) -> DataFrame:
