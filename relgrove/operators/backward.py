@@ -244,15 +244,22 @@ class Backward:
             out = [v for p in e.parts if (v := self._eval(node, p, values, delta)) is not None]
         elif isinstance(e, Intersection):
             out = []
-            for k, p in enumerate(e.parts if delta is not None else e.parts[:1]):
+            # without wildcards and edges first: the others then only test its rows
+            parts = sorted(e.parts, key=lambda p: (self._starred(node, p), any(isinstance(x, FromLink) or isinstance(x, This) and any(r.relation for r in x.refs) for x in walk(p))))
+            for k, p in enumerate(parts if delta is not None else parts[:1]):
                 if (value := self._eval(node, p, values, delta)) is not None:
-                    for j, other in enumerate(e.parts):
+                    for j, other in enumerate(parts):
                         if j != k:
-                            value = both(value, self._eval(node, other, values, None))
+                            value = both(value, self._eval(node, other, values, None)) if value.s is not None else Held(self._keep(node, other, values, value.e))
                     out.append(value)
         else:
             base = self._eval(node, e.base, values, delta)
-            out = [] if base is None else [without(base, self._eval(node, e.subtract, values, None))]
+            if base is None:
+                out = []
+            elif base.s is None:
+                out = [Held(base.e.join(self._keep(node, e.subtract, values, base.e), PAIR, "left_anti"))]
+            else:
+                out = [without(base, self._eval(node, e.subtract, values, None))]
         if not out:
             return Held(self._none()) if delta is None else None
         result = out[0]
@@ -260,16 +267,56 @@ class Backward:
             result = either(result, v)
         return result
 
-    def _with_self(self, node: Node, held: Held) -> Held:
-        """Adds usersets on their own objects, which exclusions don't touch."""
+    def _starred(self, node: Node, e: Expr) -> bool:
+        """Whether the expression may grant a wildcard of the subjects' type."""
+        if self.relation:
+            return False
+        own = any(isinstance(x, This) and any(r.wildcard and r.type == self.subject_type for r in x.refs) for x in walk(e))
+        return own or any(self.subject_type in self.analysis.wildcard_types[n] for n in self.analysis.depends(node, e))
+
+    def _keep(self, node: Node, e: Expr, values: dict[Node, Held], rows: DataFrame) -> DataFrame:
+        """Of candidate pairs, those that the expression grants. Over links and usersets the candidates' edges are tested, never all that these reach."""
+        if isinstance(e, Union):
+            return union_of([self._keep(node, p, values, rows) for p in e.parts]).distinct()
+        if isinstance(e, Intersection):
+            for p in e.parts:
+                rows = self._keep(node, p, values, rows)
+            return rows
+        if isinstance(e, Difference):
+            rows = self._keep(node, e.base, values, rows)
+            return rows.join(self._keep(node, e.subtract, values, rows), PAIR, "left_anti")
+        if isinstance(e, Computed):
+            other = (node[0], e.relation)
+            if self.analysis.recursive(self.analysis.order[self.analysis.group_of[other]]):
+                return _in(rows, values[other])
+            kept, own = self._keep(other, self.model.expr(*other), values, rows), self._own(other)
+            return kept if own is None else kept.unionByName(rows.join(own, PAIR, "left_semi")).distinct()
+        if isinstance(e, This):
+            kept = [_in(rows, self._direct(node, e))]
+            over = [(self._grants(node, r), values[r.type, r.relation]) for r in e.refs if r.relation]
+        else:
+            kept = []
+            parents = [p for p in self.model.link_types(node[0], e.link) if (p, e.relation) in values]
+            over = [(self._links(node, e.link, p), values[p, e.relation]) for p in parents]
+        for edges, held in over:
+            reached = rows.join(edges, O).select(F.col(O).alias("at"), F.col("via").alias(O), "subject_id")
+            kept.append(_in(reached, held).select(F.col("at").alias(O), "subject_id"))
+        return union_of(kept).distinct() if kept else rows.where("false")
+
+    def _own(self, node: Node) -> DataFrame | None:
+        """Usersets on their own objects, where these hold the relation."""
         if not self.relation or node[0] != self.subject_type or self.relation not in self.analysis.closure[node]:
-            return held
+            return None
         kind = self.subject_type
         ids = [self.tuples.where(F.col("object_type") == kind).select(O), self.tuples.where((F.col("subject_type") == kind) & ~is_wildcard("subject_id")).select(subject_object("subject_id").alias(O))]
         if self.demand is not None and node in self.demand:
             ids = [self.demand[node]]
-        own = union_of(ids).distinct().select(O, as_userset(O, self.relation).alias("subject_id"))
-        return either(held, Held(own))
+        return union_of(ids).distinct().select(O, as_userset(O, self.relation).alias("subject_id"))
+
+    def _with_self(self, node: Node, held: Held) -> Held:
+        """Adds usersets on their own objects, which exclusions don't touch."""
+        own = self._own(node)
+        return held if own is None else either(held, Held(own))
 
     def _loop(self, group: list[Node], outer: dict[Node, Held]) -> dict[Node, Held]:
         below = {d for n in group for d in self.analysis.depends(n)} - set(group)

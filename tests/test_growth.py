@@ -64,3 +64,12 @@ def test_links_and_usersets_are_tested_for_the_candidates_only(spark):
         df = e.objects_of(owners(spark, n), relation, "order")
         assert most_rows(df) <= 6 * n, relation  # n * n if all that the link reaches were joined
         assert sorted(r["object_id"] for r in df.collect()) == sorted(f"o{k}" for k in range(n) if k % 2 == odd)
+
+
+def test_lists_of_subjects_test_links_and_usersets_for_the_candidates_only(spark):
+    n = 200
+    e = crowd(spark, n)
+    for relation, odd in (("outside_owner", 0), ("owner_auditor", 1), ("outside_watcher", 0), ("owner_watcher", 1)):
+        df = e.subjects_of("order", relation, "user")
+        assert most_rows(df) <= 6 * n, relation
+        assert sorted(r["object_id"] for r in df.collect()) == sorted(f"o{k}" for k in range(n) if k % 2 == odd)
