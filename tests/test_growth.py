@@ -3,7 +3,7 @@
 from relgrove.operators.verbs import Engine
 from relgrove.plans.analysis import validate
 from relgrove.plans.dsl import parse
-from relgrove.sources.tuples import parse_tuple, tuples_from_rows
+from relgrove.sources.tuples import parse_tuple, read_store, tuples_from_rows, write_store
 
 SCHEMA = """
 model
@@ -73,3 +73,17 @@ def test_lists_of_subjects_test_links_and_usersets_for_the_candidates_only(spark
         df = e.subjects_of("order", relation, "user")
         assert most_rows(df) <= 6 * n, relation
         assert sorted(r["object_id"] for r in df.collect()) == sorted(f"o{k}" for k in range(n) if k % 2 == odd)
+
+
+def test_a_store_is_written_without_a_shuffle(spark, tmp_path):
+    rows = [("user", "a", "owner", "doc", "1"), ("user", "a", "owner", "doc", "1"), ("user", "*", "viewer", "doc", "2"), ("doc", "1", "parent", "folder", "f")]
+    tuples = tuples_from_rows(spark, rows)
+    written = tuples.sparkSession.sparkContext.statusTracker()
+    tuples.sparkSession.sparkContext.setJobGroup("store", "store")
+    write_store(tuples, str(tmp_path / "s"))
+    stages = [len(written.getJobInfo(k).stageIds) for k in written.getJobIdsForGroup("store")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(stages) == 1
+    assert sorted(p.name for p in (tmp_path / "s" / "object_type=doc").iterdir()) == ["relation=owner", "relation=viewer"]
+    assert sorted(map(tuple, read_store(spark, str(tmp_path / "s")).collect())) == sorted(rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
