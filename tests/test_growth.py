@@ -1,5 +1,10 @@
 """Steps whose rows must not grow faster than the input: the most rows that any step of a plan made."""
 
+import random
+
+import pytest
+
+from relgrove.operators import factored
 from relgrove.operators.verbs import Engine
 from relgrove.plans.analysis import validate
 from relgrove.plans.dsl import parse
@@ -28,8 +33,8 @@ type order
 """
 
 
-def most_rows(df) -> int:
-    """The largest number of rows that a step of the plan put out when it ran."""
+def most_rows(df, metric: str = "numOutputRows") -> int:
+    """The largest number of rows that a step of the plan put out (or shuffled) when it ran."""
 
     def walk(node):
         name = node.getClass().getSimpleName()
@@ -37,7 +42,7 @@ def most_rows(df) -> int:
             return walk(node.executedPlan())
         if name.endswith("QueryStageExec"):
             return walk(node.plan())
-        made = node.metrics().get("numOutputRows")
+        made = node.metrics().get(metric)
         below = node.children()
         return max([made.get().value() if made.isDefined() else 0, *(walk(below.apply(k)) for k in range(below.size()))])
 
@@ -87,3 +92,55 @@ def test_a_store_is_written_without_a_shuffle(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "s" / "object_type=doc").iterdir()) == ["relation=owner", "relation=viewer"]
     assert sorted(map(tuple, read_store(spark, str(tmp_path / "s")).collect())) == sorted(rows)
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+@pytest.mark.parametrize("chunk", [1_000, 7])
+def test_lists_over_links_and_usersets_do_not_shuffle_their_pairs(spark, monkeypatch, chunk):
+    n = 200
+    monkeypatch.setattr(factored, "CHUNK", chunk)
+    monkeypatch.setattr(factored, "PAIRS", 10 * chunk)  # chunks of 7: the one class is dealt
+    e = crowd(spark, n)
+    users = spark.createDataFrame([("user", f"u{k}") for k in range(n)], "subject_type string, subject_id string")
+    want = {(f"u{k}", f"o{j}") for k in range(n) for j in range(n)}
+    for relation in ("auditor", "watcher"):
+        for df in (e.objects_of(users, relation, "order"), e.subjects_of("order", relation, "user")):
+            got = [(r["subject_id"], r["object_id"]) for r in df.collect()]
+            assert len(got) == n * n and set(got) == want
+            assert most_rows(df, "shuffleRecordsWritten") <= n * (2 * n // chunk + 2)
+
+
+TREE = """
+model
+  schema 1.1
+type user
+type group
+  relations
+    define member: [user]
+type folder
+  relations
+    define parent: [folder]
+    define viewer: [user, group#member, folder#viewer] or viewer from parent
+    define reader: viewer or helper
+    define helper: [group#member, user]
+"""
+
+
+@pytest.mark.parametrize("groups", [2, 40])
+def test_lists_through_recursion_have_each_pair_once(spark, groups):
+    rng = random.Random(groups)
+    member = {(f"u{rng.randrange(12)}", f"g{rng.randrange(groups)}") for _ in range(4 * groups)}
+    parent = {(f"f{rng.randrange(k)}", f"f{k}") for k in range(1, 20)} | {("f19", "f3")}
+    own = {(f"u{rng.randrange(12)}", f"f{rng.randrange(20)}") for _ in range(8)}
+    given = {(f"g{rng.randrange(groups)}", f"f{rng.randrange(20)}") for _ in range(12)}
+    helps = {(f"g{rng.randrange(groups)}", f"f{rng.randrange(20)}") for _ in range(6)}
+    rows = [("user", u, "member", "group", g) for u, g in member] + [("folder", a, "parent", "folder", b) for a, b in parent] + [("user", u, "viewer", "folder", f) for u, f in own]
+    rows += [("group", f"{g}#member", "viewer", "folder", f) for g, f in given] + [("folder", "f2#viewer", "viewer", "folder", "f1")] + [("group", f"{g}#member", "helper", "folder", f) for g, f in helps] + [("user", "u1", "helper", "folder", "f1")]
+    views = own | {(u, f) for g, f in given for u, h in member if h == g}
+    while more := {(u, b) for u, f in views for a, b in parent | {("f2", "f1")} if a == f} - views:
+        views |= more
+    helped = {("u1", "f1")} | {(u, f) for g, f in helps for u, h in member if h == g}
+    e = Engine(validate(parse(TREE)), tuples_from_rows(spark, rows))
+    users = spark.createDataFrame([("user", f"u{k}") for k in range(12)], "subject_type string, subject_id string")
+    for relation, want in (("viewer", views), ("reader", views | helped), ("helper", helped)):
+        for df in (e.objects_of(users, relation, "folder"), e.subjects_of("folder", relation, "user")):
+            assert sorted((r["subject_id"], r["object_id"]) for r in df.collect()) == sorted(want), relation
