@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ MAX_NODES = 100
 NODES_SETTING, LEAF_SETTING = "spark.relgrove.explain.nodes", "spark.relgrove.expand.leaf"
 #: How many objects' facts explain fetches at once, for each node that the trace may have.
 _AHEAD = 20
+#: Up to so many objects are asked for by a filter on their ids, more by a join.
+_LITERALS = 200
 
 
 def _text(relation: str = "") -> Column:
@@ -251,8 +255,15 @@ class _Facts:
 
     def _load(self, objects: set[tuple[str, str]], limit: int | None = None) -> list | None:
         """The rows of the objects; None if there are more than the limit."""
-        asked = self.trees.tuples.sparkSession.createDataFrame(sorted(objects), "object_type string, object_id string")
-        rows = self.useful.join(asked, ["object_type", "object_id"]).select("object_type", "object_id", "relation", "subject_type", "subject_id").distinct()
+        if len(objects) <= _LITERALS:  # as a filter, so that a scan reads no more than it must
+            ids: dict[str, list[str]] = defaultdict(list)
+            for t, o in sorted(objects):
+                ids[t].append(o)
+            rows = self.useful.where(reduce(or_, ((F.col("object_type") == t) & F.col("object_id").isin(*own) for t, own in ids.items())))
+        else:
+            asked = self.trees.tuples.sparkSession.createDataFrame(sorted(objects), "object_type string, object_id string")
+            rows = self.useful.join(asked, ["object_type", "object_id"])
+        rows = rows.select("object_type", "object_id", "relation", "subject_type", "subject_id").distinct()
         if self.cap < 1 << 29:
             rows = rows.withColumn("k", self.rank).where(F.col("k") <= self.cap + 2).drop("k")
         found = (rows if limit is None else rows.limit(limit + 1)).collect()
