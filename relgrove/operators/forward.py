@@ -44,10 +44,12 @@ class ResolutionTooDeep(RuntimeError):
 class Forward:
     """Values of relations for the given subjects (subject_type, subject_id)."""
 
-    def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH, demand: dict[Node, DataFrame | None] | None = None, few: list[str] | None = None):
+    def __init__(self, analysis: Analysis, tuples: DataFrame, subjects: DataFrame, wildcards: bool = True, max_depth: int = MAX_DEPTH, demand: dict[Node, DataFrame | None] | None = None, few: list[str] | None = None, ids: dict[Node, list[str]] | None = None):
         self.analysis, self.model, self.tuples = analysis, analysis.model, tuples
         #: Relations whose value is wanted for some objects (object_id) only, or (None) for none.
         self.demand = demand or {}
+        #: Relations that are asked about on these few objects only, by which scans may filter.
+        self.ids = ids or {}
         #: The subjects' ids, if they are so few that scans may filter by them.
         self.few = few
         subjects = subjects.select("subject_type", "subject_id")
@@ -160,6 +162,8 @@ class Forward:
 
     def _rows(self, node: Node, relation: str, *types: str) -> DataFrame:
         rows = self.tuples.where((F.col("object_type") == node[0]) & (F.col("relation") == relation) & F.col("subject_type").isin(*types))
+        if node in self.ids:
+            rows = rows.where(F.col("object_id").isin(*self.ids[node]))
         if node not in self.demand:
             return rows
         return rows.where("false") if self.demand[node] is None else rows.join(self.demand[node], "object_id", "left_semi")

@@ -14,6 +14,7 @@ from relgrove.operators.common import checkpointed, union_of
 from relgrove.operators.forward import Forward, ResolutionTooDeep
 from relgrove.operators.paging import page
 from relgrove.plans.analysis import MAX_DEPTH, Analysis
+from relgrove.plans.model import Computed, FromLink, This, walk
 from relgrove.sources.tuples import with_contextual
 
 REQUEST = ["subject_type", "subject_id", "relation", "object_type", "object_id"]
@@ -54,7 +55,21 @@ class Engine:
         objects = down.demands(asked)
         return {n: checkpointed(objects[n]) if n in objects else None for n in recursive}, down.cut
 
-    def check_bulk(self, requests: DataFrame, contextual=None, pairs: list[tuple[str, str]] | None = None, errors: bool = False) -> DataFrame:
+    def _local(self, pairs: list[tuple[str, str]]) -> set[tuple[str, str]]:
+        """The relations that requests on these concern on the requests' own objects only, as no userset or link leads to them."""
+        model, analysis = self.analysis.model, self.analysis
+        here, front, led = set(pairs), list(pairs), []
+        while front:
+            node = front.pop()
+            for x in walk(model.expr(*node)):
+                if isinstance(x, This | FromLink):
+                    led += analysis.depends(node, x)
+                elif isinstance(x, Computed) and (n := (node[0], x.relation)) not in here:
+                    here.add(n)
+                    front.append(n)
+        return here - {n for g in analysis.needed(led) for n in g}
+
+    def check_bulk(self, requests: DataFrame, contextual=None, pairs: list[tuple[str, str]] | None = None, errors: bool = False, ids: list[str] | None = None) -> DataFrame:
         """(idx, allowed): 1 or 0 for each row of requests (idx and the five columns); what the model doesn't know is 0.
 
         pairs: the (object type, relation) pairs that occur, if the caller knows
@@ -62,6 +77,8 @@ class Engine:
         still open where recursion was cut off raises ResolutionTooDeep; with
         ``errors`` it has that code in a column ``error`` instead, and the
         others are answered. Requests on other relations are not concerned.
+        ids: the requests' objects, if they are so few that scans may filter by
+        them.
         """
         known = self.analysis.model.nodes()
         if pairs is None:
@@ -74,7 +91,7 @@ class Engine:
         if not asked:
             return requests.select("idx", F.lit(0).alias("allowed"), *none)
         demand, cut = self._demand(asked, tuples)
-        forward = Forward(self.analysis, tuples, requests.select("subject_type", "subject_id").dropna(), True, self.max_depth, demand)
+        forward = Forward(self.analysis, tuples, requests.select("subject_type", "subject_id").dropna(), True, self.max_depth, demand, ids=dict.fromkeys(self._local(list(asked)), ids) if ids else None)
         held = [forward.holding(t, r, rows).select("subject_type", "subject_id", F.lit(r).alias("relation"), F.lit(t).alias("object_type"), "object_id") for (t, r), rows in asked.items()]
         out = requests.select("idx", *REQUEST).join(union_of(held).withColumn("held", F.lit(1)), REQUEST, "left").withColumn("allowed", F.coalesce("held", F.lit(0)).cast("int"))
         cut |= forward.truncated
@@ -98,7 +115,7 @@ class Engine:
         """1 or 0 for one request."""
         row = (1, subject_type, subject_id, relation, object_type, object_id)
         one = self.tuples.sparkSession.createDataFrame([row], "idx int, subject_type string, subject_id string, relation string, object_type string, object_id string")
-        return self.check_bulk(one, contextual, [(object_type, relation)]).first()["allowed"]
+        return self.check_bulk(one, contextual, [(object_type, relation)], ids=[object_id]).first()["allowed"]
 
     def objects_of(self, subjects: DataFrame, relation: str, object_type: str, contextual=None, few: list[str] | None = None) -> DataFrame:
         """(subject_type, subject_id, object_id) for many subjects at once. few: their ids, if scans should filter by them."""

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from relgrove.operators import factored
+from relgrove.operators.trees import Trees
 from relgrove.operators.verbs import Engine
 from relgrove.plans.analysis import validate
 from relgrove.plans.dsl import parse
@@ -144,3 +145,13 @@ def test_lists_through_recursion_have_each_pair_once(spark, groups):
     for relation, want in (("viewer", views), ("reader", views | helped), ("helper", helped)):
         for df in (e.objects_of(users, relation, "folder"), e.subjects_of("folder", relation, "user")):
             assert sorted((r["subject_id"], r["object_id"]) for r in df.collect()) == sorted(want), relation
+
+
+def test_single_checks_and_traces_filter_scans_by_object(spark, monkeypatch):
+    e = Engine(validate(parse(TREE)), tuples_from_rows(spark, [("user", "u", "viewer", "folder", "f0"), ("folder", "f0", "parent", "folder", "f1"), ("user", "v", "helper", "folder", "f1"), ("user", "w", "helper", "folder", "f0")]))
+    assert e._local([("folder", "reader")]) == {("folder", "reader"), ("folder", "helper")}  # viewer is asked about on parents too
+    assert e._local([("folder", "viewer")]) == set()
+    assert [e.check("user", s, "reader", "folder", "f1") for s in "uvw"] == [1, 1, 0]
+    trees = Trees(e.analysis, e.tuples)
+    monkeypatch.setattr(type(spark), "createDataFrame", None)  # no table of the objects asked for: they are a filter
+    assert [trees.explain("user", s, "reader", "folder", "f1")["result"] for s in "uvw"] == [True, True, False]
